@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, token_counts
+from . import exact_search, mixing, quality, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_exact_topk": exact_search.op6_exact_topk,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 ORACLE_SQL = {
+    "op6_exact_topk": exact_search.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
 }
