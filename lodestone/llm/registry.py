@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_search, mixing, quality, secrets, token_counts, toxicity
+from . import exact_search, line_dedup, mixing, quality, secrets, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_exact_topk": exact_search.op6_exact_topk,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 ORACLE_SQL = {
+    "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op6_exact_topk": exact_search.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
 }
