@@ -94,7 +94,7 @@ ORACLE_SQL = f"""
 with gone as ({window_sql('documents')}),
 per_text as (select doc_id, text, list(i) as gone, count(*) as n from gone group by doc_id, text)
 select d.doc_id,
-  case when p.n is null then d.text else array_to_string([x.l for x in list_zip(string_split(d.text, chr(10)), range(0, len(string_split(d.text, chr(10))))) if not list_contains(p.gone, x[2])], chr(10)) end as text,
+  case when p.n is null then d.text else array_to_string([x[1] for x in list_zip(string_split(d.text, chr(10)), range(0, len(string_split(d.text, chr(10))))) if not list_contains(p.gone, x[2])], chr(10)) end as text,
   coalesce(p.n, 0)::bigint as n_deleted_lines
 from documents d left join per_text p on d.doc_id is not distinct from p.doc_id and d.text = p.text
 """

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_search, line_dedup, mixing, quality, secrets, substring_dedup, token_counts, toxicity
+from . import exact_search, line_dedup, mixing, ngram_join, quality, secrets, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_exact_topk": exact_search.op6_exact_topk,
