@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_search, line_dedup, mixing, ngram_join, quality, secrets, substring_dedup, token_counts, toxicity
+from . import exact_search, line_dedup, mixing, ngram_join, piece_sampling, quality, secrets, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_exact_topk": exact_search.op6_exact_topk,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_piece_sampling": piece_sampling.op9_piece_sampling,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
