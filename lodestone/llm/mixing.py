@@ -8,7 +8,7 @@ length of the prefix taken. A source whose target is several times its size is f
 The prefix sums never gather a source in a task. Its documents are dealt into key ranges of about RANGE_ROWS rows; the
 sums of the ranges give each range its offset, and only within a range are rows sorted.
 
-Defined cases: null or empty text has size 0 and is taken with 0 words. A null source is a source of its own, last in
+Defined cases: null or empty text has size 0 and isn't taken. A null source is a source of its own, last in
 order. Ties in the key go by doc_id, size. Repeated rows are documents of their own; they tie, and which of them falls on the
 boundary does not show in the result. Null doc_ids share one u. An empty table gives an empty result.
 """
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, table, unit_hash
+from .common import WORD, fresh, stored, table, unit_hash
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -62,14 +62,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: all that the mix needs, so that texts stay out of every shuffle."""
-    return docs.select("doc_id", "source", word_count("text").alias("size"))
+    """doc_id, key (hash of the text), source, size: all that the mix needs, so that texts stay out of every shuffle."""
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "source", word_count("text").alias("size"))
 
 
 def mix(rows: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, times, taken for each row of rows(doc_id, source, size, quality_weight)."""
-    key = -F.log(unit_hash("doc_id", seed=seed)) / F.greatest(F.col("quality_weight"), F.lit(1e-6))
-    rows = rows.select("doc_id", "source", "size", key.alias("key"))
+    """doc_id, key, source, size, source_size, target, times, taken for each row of rows(doc_id, key, source, size, quality_weight)."""
+    order = -F.log(unit_hash("doc_id", seed=seed)) / F.greatest(F.col("quality_weight"), F.lit(1e-6))
+    rows = rows.select("doc_id", "key", "source", "size", order.alias("order"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     plan = targets(sizes, weights, cap).select(
         "*",
@@ -78,16 +78,17 @@ def mix(rows: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, c
     # The source is a join key that one hot value dominates; a row for each source joins, so Spark may broadcast or split it.
     dealt = rows.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     ranges = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / RANGE_ROWS))
-    dealt = dealt.withColumn("part", F.floor(ranges * (F.lit(1.0) - F.exp(-F.col("key")))).cast("long"))
+    dealt = dealt.withColumn("part", F.floor(ranges * (F.lit(1.0) - F.exp(-F.col("order")))).cast("long"))
     parts = dealt.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     offset = F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select(F.col("source").alias("of"), F.col("part").alias("of_part"), F.coalesce(offset, F.lit(0)).alias("offset"))
-    within = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "part").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     summed = dealt.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     summed = summed.join(parts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
     before = F.col("offset") + F.col("inner")
-    times = F.col("epochs") + F.when((F.col("size") > 0) & (F.col("epochs") < cap) & (2 * before + F.col("size") <= 2 * F.col("rest")), 1).otherwise(0)
-    return summed.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    once_more = (F.col("epochs") < cap) & (2 * before + F.col("size") <= 2 * F.col("rest"))
+    times = F.when(F.col("size") > 0, F.col("epochs") + F.when(once_more, 1).otherwise(0)).otherwise(0)
+    return summed.select("doc_id", "key", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
 
 
 def quality(labels: DataFrame, good: float = QUALITY[0], bad: float = QUALITY[2]) -> DataFrame:
@@ -101,9 +102,24 @@ def with_quality(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(q, F.col("doc_id") == F.col("labelled"), "left").drop("labelled").withColumn("quality_weight", F.coalesce("quality_weight", F.lit(QUALITY[1])))
 
 
+def repeated(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken."""
+    taken = stored(mix(with_quality(sized(docs), labels), **how).select("doc_id", "key", "source", "times"))
+    key, n, at_id, at_key, at_source, at_n, times, copy = fresh(docs, "text_key", "copy_no", "at_id", "at_key", "at_source", "at_n", "times", "copy")
+    docs_keyed = docs.withColumn(key, F.xxhash64("text"))
+    if taken.groupBy("doc_id", "key", "source").count().where("count > 1").isEmpty():
+        left, right = docs_keyed.withColumn(n, F.lit(1)), taken.withColumn("n", F.lit(1))
+    else:  # rows that agree in all three are told apart by a number
+        left = docs_keyed.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", key, "source").orderBy("doc_id")))
+        right = taken.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "key", "source").orderBy("doc_id")))
+    right = right.where("times > 0").select(F.col("doc_id").alias(at_id), F.col("key").alias(at_key), F.col("source").alias(at_source), F.col("n").alias(at_n), F.col("times").alias(times))
+    on = F.col("doc_id").eqNullSafe(F.col(at_id)) & (F.col(key) == F.col(at_key)) & F.col("source").eqNullSafe(F.col(at_source)) & (F.col(n) == F.col(at_n))
+    return left.join(right, on).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(docs.columns)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_quality(sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
-    return mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+    rows = sized(table(spark, sf_dir, "documents"))
+    return mix(with_quality(rows, table(spark, sf_dir, "labels"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE_SQL = r"""

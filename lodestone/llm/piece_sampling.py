@@ -401,7 +401,7 @@ def digest(found: DataFrame) -> DataFrame:
         text(lambda s: F.size(s["ids"]).cast("string")).alias("n_pieces"),
         text(lambda s: F.hex(F.xxhash64(s["ids"]))).alias("ids_hash"),
         text(lambda s: F.round(s["log_p"], 4).cast("string")).alias("log_p"),
-        text(lambda s: F.round(s["inclusion"], 6).cast("string")).alias("inclusion"),
+        text(lambda s: F.format_string("%.4e", s["inclusion"])).alias("inclusion"),
     )
 
 
