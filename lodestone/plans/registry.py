@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+from . import files_and_text, rule_scans  # noqa: F401  registers its queries
+from .query import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "flagship_risk_scan"
