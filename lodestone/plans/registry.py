@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import files_and_text, graphs, rule_scans, searches  # noqa: F401  registers its queries
+from . import files_and_text, graphs, reports, rule_scans, searches  # noqa: F401  registers its queries
 from .query import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "flagship_risk_scan"
