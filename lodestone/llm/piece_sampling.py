@@ -185,21 +185,29 @@ class Lattice:
             to, piece, ends_word, log_p = to[swap], piece[swap], ends_word[swap], log_p[swap]
         self.log_p, self.p = log_p, np.exp(log_p)
         self.to, self.piece, self.ends_word, self.start, self.first = to, piece, ends_word, start, first
-        self.likeliest = np.append(self.p, 0.0)[first[:-1]]
-        sums = np.concatenate([[0.0], np.cumsum(self.p)])
-        self.cum = start + np.minimum(sums[1:] - sums[first[start]], 1.0)
+        # Sums in whole units of 2 ** -31 and 2 ** -32: exact, so that a row's sample doesn't depend on its neighbours in the batch.
+        parts = np.rint(self.p * 2.0**31).astype(np.int64)
+        sums = np.concatenate([[0], np.cumsum(parts)])
+        self.cum = (start << 32) + np.minimum(sums[1:] - sums[first[start]], 2**31)
+        self.units = np.rint(log_p * 2.0**32).astype(np.int64)
+        self.likeliest = np.append(parts, 0)[first[:-1]]
+        # What a node leaves over beside an edge: a sum of the others for its likeliest, for which 1 - p would lose them.
+        self.rest = 1.0 - self.p
         if len(start):
-            self.cum[np.append(at_node[1:], len(start)) - 1] = start[at_node] + 1.0
+            self.cum[np.append(at_node[1:], len(start)) - 1] = (start[at_node] << 32) + 2**31
+            others = self.p.copy()
+            others[at_node] = 0.0
+            self.rest[at_node] = np.add.reduceat(others, at_node)
 
     def walk(self, node: np.ndarray, key: np.ndarray, offset: np.ndarray, round_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Draws a path to the word's end from each node. owner, step offset and edge of every step, in no order."""
         owner, out = np.arange(len(node)), []
         while len(owner):
-            u = _uniform(key, round_, 0, offset)
+            u = (_uniform(key, round_, 0, offset) * 2.0**31).astype(np.int64)
             edge = self.first[node]
             other = np.flatnonzero(u >= self.likeliest[node])
             o = node[other]
-            edge[other] = np.clip(np.searchsorted(self.cum, o + u[other], side="right"), edge[other], self.first[o + 1] - 1)
+            edge[other] = np.clip(np.searchsorted(self.cum, (o << 32) + u[other], side="right"), edge[other], self.first[o + 1] - 1)
             out.append((owner, offset, edge))
             on = ~self.ends_word[edge]
             owner, key = owner[on], key[on]
@@ -216,19 +224,16 @@ class Walks:
         order = np.argsort((doc.astype(np.int64) << 40) | offset, kind="stable")
         self.doc, self.offset, self.edge = doc[order], offset[order], edge[order]
         self.cut = np.searchsorted(self.doc, np.arange(n_docs + 1))
-        log_p = lattice.log_p[self.edge]
-        sums = np.concatenate([[0.0], np.cumsum(log_p)])
-        self.prior = before[self.doc] + sums[:-1] - sums[self.cut[self.doc]]
-        self.end = before + sums[self.cut[1:]] - sums[self.cut[:-1]]
+        sums = np.concatenate([[0], np.cumsum(lattice.units[self.edge])])
+        self.prior = before[self.doc] + (sums[:-1] - sums[self.cut[self.doc]]) / 2.0**32
+        self.end = before + (sums[self.cut[1:]] - sums[self.cut[:-1]]) / 2.0**32
         self.place = place[self.doc] + np.arange(len(self.doc)) - self.cut[self.doc]
-        taken = lattice.p[self.edge]
-        self.value = _left_over(self.prior, taken, bound[self.doc], _uniform(key[self.doc], round_, 1, self.offset))
+        self.value = _left_over(self.prior, lattice.rest[self.edge], bound[self.doc], _uniform(key[self.doc], round_, 1, self.offset))
 
 
-def _left_over(prior, taken, bound, u):
-    """The perturbed maximum of what a node leaves over: a Gumbel at its log-probability, truncated at bound."""
-    rest = 1.0 - taken
-    some = rest > 1e-9
+def _left_over(prior, rest, bound, u):
+    """The perturbed maximum of what a node leaves over, a share rest of it: a Gumbel at its log-probability, truncated at bound."""
+    some = rest > 0
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
         location = prior + np.log(np.where(some, rest, 1.0))
         value = location - np.log(np.exp(np.minimum(location - bound, 700.0)) - np.log(u))
@@ -295,9 +300,9 @@ def sample_batch(pieces: Pieces, texts: list[str | None], keys: np.ndarray, k: i
             mass = np.cumsum(lattice.p[edges])
             e = edges[min(int(np.searchsorted(mass, u[d] * mass[-1], side="right")), len(edges) - 1)]
             out.append(e)
-            new_edge[d], prior[d], place[d] = e, w.prior[i] + lattice.log_p[e], w.place[i] + 1
+            new_edge[d], prior[d], place[d] = e, w.prior[i] + lattice.units[e] / 2.0**32, w.place[i] + 1
             # The rest of that node stays in the queue, below what has just been found.
-            w.value[i] = _left_over(w.prior[i], lattice.p[out].sum() if len(edges) > 1 else 1.0, best[d], again[d])
+            w.value[i] = _left_over(w.prior[i], float(sum(lattice.p[x] for x in edges if x != e)), best[d], again[d])
             after = w.offset[i] + lattice.to[e] - v
             words_after = word_cut[d] + int(np.searchsorted(offset[word_cut[d] : word_cut[d + 1]], after, side="left" if lattice.ends_word[e] else "right"))
             if not lattice.ends_word[e]:
