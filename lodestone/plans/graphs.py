@@ -130,10 +130,10 @@ def l9(spark, sf):
     return n.select("id").join(found, "id", "left").select("id", F.coalesce("depth", F.lit(-1)).alias("depth"))
 
 
-@query("l10_paths_between", f"with recursive {GRAPH_SQL}, {_paths_sql(chr(105) + 'd = ' + chr(39) + 's1' + chr(39), 'id = ' + chr(39) + 'r2' + chr(39), 6)} select array_to_string(path, '>') as path, case when len([x for x in path if starts_with(x, 's') and x[2:]::bigint % 5 = 0]) = 0 then 'high' else 'low' end as exploitability from paths order by len(path), 1 limit 10")
+@query("l10_paths_between", f"with recursive {GRAPH_SQL}, {_paths_sql(chr(105) + 'd = ' + chr(39) + 's1' + chr(39), 'id like ' + chr(39) + 'r%' + chr(39), 6)} select array_to_string(path, '>') as path, case when len([x for x in path if starts_with(x, 's') and x[2:]::bigint % 5 = 0]) = 0 then 'high' else 'low' end as exploitability from paths order by len(path), 1 limit 10")
 def l10(spark, sf):
     n = nodes(spark, sf)
-    found = G.simple_paths(edges(spark, sf), n.where("id = 's1'"), n.where("id = 'r2'"), 6).withColumn("text", F.array_join("path", ">"))
+    found = G.simple_paths(edges(spark, sf), n.where("id = 's1'"), n.where("id like 'r%'"), 6).withColumn("text", F.array_join("path", ">"))
     first = found.orderBy(F.size("path"), "text").limit(10)
     clean = ~F.exists("path", lambda x: x.startswith("s") & (F.try_to_number(F.substring(x, 2, 20), F.lit("99999999999")) % 5 == 0))
     return first.select(F.col("text").alias("path"), F.when(clean, "high").otherwise("low").alias("exploitability"))

@@ -44,9 +44,9 @@ def g11(spark, sf):
 
 @query("g10_clone_pairs", f"""
 select a.vec_id as a, b.vec_id as b, round(list_sum([p[1]::double * p[2]::double for p in list_zip(a.embedding, b.embedding)]) / (sqrt(list_sum([x::double * x::double for x in a.embedding])) * sqrt(list_sum([x::double * x::double for x in b.embedding]))), 6) as score
-from embeddings a join embeddings b on a.vec_id < b.vec_id where round(list_sum([p[1]::double * p[2]::double for p in list_zip(a.embedding, b.embedding)]) / (sqrt(list_sum([x::double * x::double for x in a.embedding])) * sqrt(list_sum([x::double * x::double for x in b.embedding]))), 6) >= 0.85""")
+from embeddings a join embeddings b on a.vec_id < b.vec_id where round(list_sum([p[1]::double * p[2]::double for p in list_zip(a.embedding, b.embedding)]) / (sqrt(list_sum([x::double * x::double for x in a.embedding])) * sqrt(list_sum([x::double * x::double for x in b.embedding]))), 6) >= 0.4""")
 def g10(spark, sf):
-    return search.similar_pairs(table(spark, sf, "embeddings").select("vec_id", "embedding"), 0.85)
+    return search.similar_pairs(table(spark, sf, "embeddings").select("vec_id", "embedding"), 0.4)
 
 
 def _words(spark, sf):
