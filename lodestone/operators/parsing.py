@@ -100,3 +100,83 @@ def call_arguments(line: str):
     """The leading identifiers of the arguments in the first parentheses of a line."""
     inner = F.regexp_extract(line, r"\(([^()]*)\)", 1)
     return F.filter(F.transform(F.split(inner, ","), lambda a: F.regexp_extract(a, r"^ *([A-Za-z_][A-Za-z0-9_]*)", 1)), lambda a: a != "")
+
+
+def javascript_units(files: DataFrame) -> DataFrame:
+    """Functions of JavaScript files by their heads, line by line: symbol, line, and handler where an argument names a request or response."""
+    lines = files.select("file_id", F.posexplode(F.split("content", "\n")).alias("i", "line"))
+    named = r"function\s+([A-Za-z_$][\w$]*)\s*\(([^)]*)\)"
+    arrow = r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\(([^)]*)\)\s*=>"
+    is_named = F.col("line").rlike(named)
+    found = lines.where(is_named | F.col("line").rlike(arrow))
+    arguments = F.regexp_extract("line", named, 2)
+    handler = is_named & arguments.rlike(r"\b(req|res|request|response|ctx|context)\b")
+    return found.select("file_id", F.when(is_named, F.regexp_extract("line", named, 1)).otherwise(F.regexp_extract("line", arrow, 1)).alias("symbol"), F.when(handler, "handler").otherwise("function").alias("unit_type"), (F.col("i") + 1).cast("int").alias("start_line"))
+
+
+GRAPH_NODE = "file_id long, node_id int, parent_id int, node_type string, name string, line int"
+
+
+def syntax_nodes(file_id: int, content: str | None) -> list[tuple]:
+    """The syntax tree as rows with parent links, in the order of a walk by levels."""
+    try:
+        todo = [(ast.parse(content or ""), -1)]
+    except (SyntaxError, ValueError):
+        return []
+    out = []
+    for node, parent in todo:
+        name = getattr(node, "name", None) or (_name(node.func) if isinstance(node, ast.Call) else getattr(node, "id", None)) or ""
+        out.append((file_id, len(out), parent, type(node).__name__, name, getattr(node, "lineno", 0)))
+        todo.extend((child, len(out) - 1) for child in ast.iter_child_nodes(node))
+    return out
+
+
+def property_graph(files: DataFrame) -> DataFrame:
+    """Nodes of the code property graph of files(file_id, content)."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in GRAPH_NODE.split(", ")]
+        for rows in batches:
+            yield pd.DataFrame([n for i, t in zip(rows["file_id"], rows["content"], strict=True) for n in syntax_nodes(i, t)], columns=names)
+
+    return files.select("file_id", "content").mapInPandas(build, GRAPH_NODE)
+
+
+def isolated(files: DataFrame) -> DataFrame:
+    """file_id, n_units, error: a file that can't be parsed is listed with its error, and the others go on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for i, t in zip(rows["file_id"], rows["content"], strict=True):
+                try:
+                    out.append((i, len(ast.parse(t or "").body), None))
+                except (SyntaxError, ValueError) as e:
+                    out.append((i, 0, type(e).__name__))
+            yield pd.DataFrame(out, columns=["file_id", "n_units", "error"])
+
+    return files.select("file_id", "content").mapInPandas(run, "file_id long, n_units long, error string")
+
+
+def split_oversized(files: DataFrame, max_tokens: int, name: str = "context") -> DataFrame:
+    """Parts of at most max_tokens (0.3 a character), cut at the last blank line of what fits, else after the last line that fits."""
+    budget = int(max_tokens / 0.3)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for i, t in zip(rows["file_id"], rows["content"], strict=True):
+                lines, at, part = (t or "").split("\n"), 0, 0
+                while at < len(lines):
+                    size, end = 0, at
+                    while end < len(lines) and (end == at or size + len(lines[end]) + 1 <= budget):
+                        size, end = size + len(lines[end]) + 1, end + 1
+                    if end < len(lines):
+                        blank = next((k for k in range(end - 1, at, -1) if not lines[k].strip()), None)
+                        end = blank + 1 if blank is not None else end
+                    body = "\n".join(lines[at:end])
+                    out.append((i, part, at + 1, end, f"# Context: {name}\n{body}" if part else body))
+                    at, part = end, part + 1
+            yield pd.DataFrame(out, columns=["file_id", "part", "start_line", "end_line", "chunk"])
+
+    return files.select("file_id", "content").mapInPandas(split, "file_id long, part int, start_line int, end_line int, chunk string")
