@@ -20,6 +20,8 @@ all, with inclusion 1. Repeated rows have the same sample, null ids share one ke
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from .common import table
 SAMPLES = 3
 ALPHA = 1.0
 RANK_OFFSET = 10
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_200_000
 BLANK = "▁"
 SCHEMA = "doc_id long, samples array<struct<ids: array<int>, log_p: double, inclusion: double>>"
 
@@ -130,8 +132,8 @@ class Lattice:
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         self.starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         ends = np.repeat(self.starts + sizes, sizes)
-        at = np.arange(len(data))
-        left = ends - at
+        at = np.arange(len(data), dtype=np.int32)
+        left = (ends - at).astype(np.int32)
         raw = np.frombuffer(data, np.uint8)
         h = pieces.hashes(data)
         lead = (raw & 0xC0) != 0x80
@@ -146,13 +148,13 @@ class Lattice:
             found, of = pieces.find(pieces.of(h, some, length))
             hit = some[found]
             froms.append(hit)
-            tos.append(hit + length)
+            tos.append(hit + np.int32(length))
             ids.append(of)
             alone[hit[char_end[hit] == hit + length]] = True
         head = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(data) else at
         other = at[~alone[head]] if len(data) else at
         froms.append(other)
-        tos.append(other + 1)
+        tos.append(other + np.int32(1))
         ids.append(pieces.byte_id[raw[other]])
         start, to, piece = np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
         weight = pieces.weight[piece]
@@ -188,13 +190,13 @@ class Lattice:
         # Sums in whole units of 2 ** -31 and 2 ** -32: exact, so that a row's sample doesn't depend on its neighbours in the batch.
         parts = np.rint(self.p * 2.0**31).astype(np.int64)
         sums = np.concatenate([[0], np.cumsum(parts)])
-        self.cum = (start << 32) + np.minimum(sums[1:] - sums[first[start]], 2**31)
+        self.cum = (start.astype(np.int64) << 32) + np.minimum(sums[1:] - sums[first[start]], 2**31)
         self.units = np.rint(log_p * 2.0**32).astype(np.int64)
         self.likeliest = np.append(parts, 0)[first[:-1]]
         # What a node leaves over beside an edge: a sum of the others for its likeliest, for which 1 - p would lose them.
         self.rest = 1.0 - self.p
         if len(start):
-            self.cum[np.append(at_node[1:], len(start)) - 1] = (start[at_node] << 32) + 2**31
+            self.cum[np.append(at_node[1:], len(start)) - 1] = (start[at_node].astype(np.int64) << 32) + 2**31
             others = self.p.copy()
             others[at_node] = 0.0
             self.rest[at_node] = np.add.reduceat(others, at_node)
@@ -207,7 +209,7 @@ class Lattice:
             edge = self.first[node]
             other = np.flatnonzero(u >= self.likeliest[node])
             o = node[other]
-            edge[other] = np.clip(np.searchsorted(self.cum, (o << 32) + u[other], side="right"), edge[other], self.first[o + 1] - 1)
+            edge[other] = np.clip(np.searchsorted(self.cum, (o.astype(np.int64) << 32) + u[other], side="right"), edge[other], self.first[o + 1] - 1)
             out.append((owner, offset, edge))
             on = ~self.ends_word[edge]
             owner, key = owner[on], key[on]
@@ -242,12 +244,12 @@ def _left_over(prior, rest, bound, u):
 
 def sample_batch(pieces: Pieces, texts: list[str | None], keys: np.ndarray, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float]] | None]:
     """For each text its samples: ids, log-probability and inclusion score, the largest perturbed value first."""
-    known: dict[str, int] = {}
-    words, offsets, of_doc = [], [], []
+    known: dict[str, int] = defaultdict(itertools.count().__next__)  # numbers words as they come
+    words, of_doc = [], []
     for d, t in enumerate(texts):
         if t:
             parts = t.replace(BLANK, " ").split(" ")
-            words.extend(known.setdefault(w, len(known)) for w in parts)
+            words.extend(map(known.__getitem__, parts))
             of_doc.append(np.full(len(parts), d))
     n = len(texts)
     lattice = Lattice(pieces, [(BLANK + w).encode("utf-8", "replace") for w in known])
@@ -290,7 +292,7 @@ def sample_batch(pieces: Pieces, texts: list[str | None], keys: np.ndarray, k: i
         new_edge, rest_doc, rest_node, rest_offset = np.zeros(n, dtype=np.int64), [], [], []
         prior, place = np.zeros(n), np.zeros(n, dtype=np.int64)
         u = _uniform(keys, r, 2, np.zeros(n, dtype=np.int64))
-        again = _uniform(keys, r, 4, np.zeros(n, dtype=np.int64))
+        left, left_prior = np.zeros(n), np.zeros(n)
         for d in todo:
             j, i = int(at_round[d]), int(at[d])
             w = rounds[j]
@@ -301,8 +303,7 @@ def sample_batch(pieces: Pieces, texts: list[str | None], keys: np.ndarray, k: i
             e = edges[min(int(np.searchsorted(mass, u[d] * mass[-1], side="right")), len(edges) - 1)]
             out.append(e)
             new_edge[d], prior[d], place[d] = e, w.prior[i] + lattice.units[e] / 2.0**32, w.place[i] + 1
-            # The rest of that node stays in the queue, below what has just been found.
-            w.value[i] = _left_over(w.prior[i], float(sum(lattice.p[x] for x in edges if x != e)), best[d], again[d])
+            left[d], left_prior[d] = sum(lattice.p[x] for x in edges if x != e), w.prior[i]
             after = w.offset[i] + lattice.to[e] - v
             words_after = word_cut[d] + int(np.searchsorted(offset[word_cut[d] : word_cut[d + 1]], after, side="left" if lattice.ends_word[e] else "right"))
             if not lattice.ends_word[e]:
@@ -312,6 +313,10 @@ def sample_batch(pieces: Pieces, texts: list[str | None], keys: np.ndarray, k: i
             rest_doc.append(np.full(word_cut[d + 1] - words_after, d))
             rest_node.append(node[words_after : word_cut[d + 1]])
             rest_offset.append(offset[words_after : word_cut[d + 1]])
+        # The rest of the opened nodes stays in the queue, below what has just been found.
+        below = _left_over(left_prior[todo], left[todo], best[todo], _uniform(keys, r, 4, np.zeros(n, dtype=np.int64))[todo])
+        for d, x in zip(todo, below, strict=True):
+            rounds[at_round[d]].value[at[d]] = x
         r_doc, r_node, r_offset = (np.concatenate(x).astype(np.int64) for x in (rest_doc, rest_node, rest_offset))
         owner, step, edge = lattice.walk(r_node, keys[r_doc], r_offset, r)
         walks = Walks(lattice, r_doc[owner], step, edge, prior, best, keys, r, n, place)
