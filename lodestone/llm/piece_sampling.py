@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import itertools
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +33,7 @@ from .common import table
 SAMPLES = 3
 ALPHA = 1.0
 RANK_OFFSET = 10
-BATCH_BYTES = 1_200_000
+BATCH_BYTES = 1_600_000
 BLANK = "▁"
 SCHEMA = "doc_id long, samples array<struct<ids: array<int>, log_p: double, inclusion: double>>"
 
@@ -90,13 +90,16 @@ class Pieces:
     def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which codes are those of pieces, and their ids."""
         k = self.bucket[(code >> np.uint64(46)).astype(np.int64)]
-        hit = self.codes[k] == code
+        have = self.codes[k]
+        hit = have == code
+        below = np.flatnonzero(have < code)  # few: most buckets are empty
         for _ in range(self.probes - 1):
-            more = ~hit & (self.codes[k] < code)
-            if not more.any():
+            if not len(below):
                 break
-            k = k + more
-            hit = self.codes[k] == code
+            k[below] += 1
+            have = self.codes[k[below]]
+            hit[below] = have == code[below]
+            below = below[have < code[below]]
         found = np.flatnonzero(hit)
         return found, self.ids[k[found]]
 
@@ -125,16 +128,17 @@ class Pieces:
 
 
 class Lattice:
-    """The lattices of distinct words: a node for each byte, edges in the order of their nodes."""
+    """The lattices of distinct words, each with a blank mark in front: a node for each byte, edges in the order of their nodes."""
 
-    def __init__(self, pieces: Pieces, words: list[bytes]):
-        data = b"".join(words)
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        ends = np.repeat(self.starts + sizes, sizes)
-        at = np.arange(len(data), dtype=np.int32)
-        left = (ends - at).astype(np.int32)
+    def __init__(self, pieces: Pieces, words: Iterable[str]):
+        data = "".join(BLANK + w for w in words).encode("utf-8", "replace")
         raw = np.frombuffer(data, np.uint8)
+        b0, b1, b2 = BLANK.encode()
+        self.starts = np.flatnonzero((raw[:-2] == b0) & (raw[1:-1] == b1) & (raw[2:] == b2))  # words hold no blank mark
+        sizes = np.diff(np.append(self.starts, len(data)))
+        ends = np.repeat((self.starts + sizes).astype(np.int32), sizes)
+        at = np.arange(len(data), dtype=np.int32)
+        left = ends - at
         h = pieces.hashes(data)
         lead = (raw & 0xC0) != 0x80
         froms, tos, ids = [], [], []
@@ -163,19 +167,19 @@ class Lattice:
         # What follows a node, summed, from the ends of the words: nodes with as many bytes left at a time.
         onward = np.zeros(len(data) + 1)
         ends_word = to == ends[start]
-        by_left = np.argsort(left[start], kind="stable")
-        s_left = left[start][by_left]
-        cuts = np.flatnonzero(np.diff(s_left, prepend=-1)) if len(s_left) else np.zeros(0, dtype=np.int64)
+        e_left = left[start]
+        by_left = np.argsort(e_left.astype(np.uint16) if len(data) and left.max() < 2**16 else e_left, kind="stable")
+        cuts = np.flatnonzero(np.diff(e_left[by_left], prepend=-1)) if len(start) else np.zeros(0, dtype=np.int64)
+        nodes, weights, after = start[by_left], weight[by_left], np.where(ends_word, len(data), to)[by_left]  # nothing follows the last node
         for a, b in zip(cuts, np.append(cuts[1:], len(by_left)), strict=True):
-            e = by_left[a:b]
-            x = weight[e] + np.where(ends_word[e], 0.0, onward[to[e]])
-            node = start[e]
+            x = weights[a:b] + onward[after[a:b]]
+            node = nodes[a:b]
             first = np.flatnonzero(np.diff(node, prepend=-1))
             top = np.maximum.reduceat(x, first)
-            total = np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(first, len(e))))), first)
+            total = np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(first, b - a)))), first)
             onward[node[first]] = top + np.log(total)
         log_p = weight + np.where(ends_word, 0.0, onward[to]) - onward[start]
-        first = np.searchsorted(start, np.arange(len(data) + 1))
+        first = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=len(data)))])
         # The likeliest piece of a node stands first: most draws need no search.
         if len(start):
             at_node = first[:-1][first[1:] > first[:-1]]
@@ -252,7 +256,7 @@ def sample_batch(pieces: Pieces, texts: list[str | None], keys: np.ndarray, k: i
             words.extend(map(known.__getitem__, parts))
             of_doc.append(np.full(len(parts), d))
     n = len(texts)
-    lattice = Lattice(pieces, [(BLANK + w).encode("utf-8", "replace") for w in known])
+    lattice = Lattice(pieces, known)
     word = np.array(words, dtype=np.int64)
     doc = np.concatenate(of_doc) if of_doc else np.zeros(0, dtype=np.int64)
     size = np.diff(np.append(lattice.starts, len(lattice.first) - 1))[word] if len(known) else np.zeros(0, dtype=np.int64)
