@@ -201,8 +201,8 @@ def _open_pairs(x: DataFrame, y: DataFrame, threshold: int) -> DataFrame:
     first, second = F.get(both, F.lit(0)), F.get(both, F.lit(1))
     combined = (F.array_position("pa", first) > F.col("ra")) & (F.greatest("na", "nb") <= _wide(threshold))
     own_key = F.when(combined, F.xxhash64(first, second)).otherwise(first)
-    # Beyond the prefixes, all that is left of the shorter rest may be shared.
-    most = F.size(both) + F.least(F.col("va") - F.size("pa"), F.col("vb") - F.size("pb"))
+    # Up to the end of the prefix that ends first, what is shared is in both; beyond it, all that is left of that set may be shared.
+    most = F.size(both) + F.when(F.col("ea") <= F.col("eb"), F.col("va") - F.size("pa")).otherwise(F.col("vb") - F.size("pb"))
     possible = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(F.col("na"), F.col("va"), F.col("nb"), F.col("vb"), threshold)
     on = (x["key"] == y["key"]) & possible & ((100 + threshold) * most >= threshold * (F.col("na") + F.col("nb"))) & (x["key"] == own_key)
     return x.join(y, on).select("a", "b")
@@ -226,9 +226,9 @@ def class_components(docs: DataFrame, rows: DataFrame, classes: DataFrame, size:
     alive = placed.join(least, "key").where("largest >= least").drop("least")
     open_keys = alive.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key")
     alive = alive.join(open_keys, "key", "left_semi").drop("largest")
-    ordered = prefixed.select("id", F.transform("p", lambda x: x["token"]).alias("p"), F.size(F.filter("p", lambda x: x["c"] <= RARE)).alias("rare"))
-    alive = stored(alive.join(ordered, "id").select("key", "id", "n", "v", "component", "p", "rare"))
-    rest = _open_pairs(alive.toDF("key", "a", "na", "va", "ca", "pa", "ra"), alive.toDF("key", "b", "nb", "vb", "cb", "pb", "rb"), threshold)
+    ordered = prefixed.select("id", F.transform("p", lambda x: x["token"]).alias("p"), F.size(F.filter("p", lambda x: x["c"] <= RARE)).alias("rare"), F.get("p", F.size("p") - 1).alias("end"))
+    alive = stored(alive.join(ordered, "id").select("key", "id", "n", "v", "component", "p", "rare", "end"))
+    rest = _open_pairs(alive.toDF("key", "a", "na", "va", "ca", "pa", "ra", "ea"), alive.toDF("key", "b", "nb", "vb", "cb", "pb", "rb", "eb"), threshold)
     more = stored(_links(rest, bare, threshold))
     made = made if more.isEmpty() else components(links.unionByName(more))
     return names.join(made.withColumnRenamed("node", "id"), "id").select("cls", "component")

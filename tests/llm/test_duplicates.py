@@ -128,6 +128,22 @@ def test_join_against_brute_force(spark, near_copies, size, threshold):
     assert kept == [i for i, g in enumerate(groups) if g == i]
 
 
+def test_groups_whose_pivots_link_only_some(spark):
+    """In each group the pivot of every key is one of two short parts, which link with nothing; the near copies of unequal length do."""
+    random.seed(11)
+    texts = []
+    for g in range(30):
+        shared = [f"g{g}w{i}" for i in range(98)]
+        random.shuffle(shared)
+        own = random.randrange(8)
+        for k, n in enumerate((own, random.randrange(11 - own), random.randrange(11 - own))):
+            texts.append(" ".join(shared + [f"g{g}own{k}-{i}" for i in range(n)]))
+        texts += [" ".join(shared[:49]), " ".join(shared[49:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["component_id"] for r in ngram_join.ngram_join(docs, 1, 90).orderBy("doc_id").collect()]
+    assert got == brute_components(texts, 1, 90)[1]
+
+
 def test_join_of_hard_rows(hard, none):
     got = collections.defaultdict(list)
     for r in ngram_join.ngram_join(hard).collect():
