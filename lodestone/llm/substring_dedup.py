@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences at .!? and line ends. Every run of several consecutive sentences is hashed: SENTENCES of them
-with at least MIN_WORDS words together, and also shorter runs that are long in words (SHORTER). Runs join globally on the
+Texts are cut into sentences at .!? and line ends. Runs of consecutive sentences are hashed: from each sentence on,
+and up to each sentence, the least run of at least SENTENCES of them and MIN_WORDS words together (MIN_WORDS sentences at
+most), and also shorter runs that are long in words (SHORTER). Runs join globally on the
 hash; of each, the first place stays, and sentences that any other place covers are removed.
 
 Places are in the order of doc_id, hash of the text, sentence; null ids come first. A run's first place is a minimum by
@@ -43,15 +44,25 @@ def runs(text: str, sentences_per_run: int = SENTENCES, min_words: int = MIN_WOR
         words = s.lower().encode("utf-8", "surrogatepass").strip(b".!? \t\n\x0b\x0c\r").split()
         if words:
             full.append((i, len(words), b" ".join(words)))
-    wanted = {**shorter, sentences_per_run: min_words}
-    most, out = max(wanted), []
+    # The runs that count, by first sentence: the least from each sentence on and the least up to each, so all of a longer run is covered.
+    sizes: list[set[int]] = [set() for _ in full]
     for k in range(len(full)):
-        h, n = xxhash.xxh3_64(), 0
-        for size, (i, words, s) in enumerate(full[k : k + most], 1):
+        for step in (1, -1):
+            n = 0
+            for size, at in enumerate(range(k, len(full) if step > 0 else -1, step), 1):
+                n += full[at][1]
+                if step > 0 and size in shorter and n >= shorter[size]:
+                    sizes[k].add(size)
+                if size >= sentences_per_run and n >= min_words:
+                    sizes[min(k, at)].add(size)
+                    break
+    out = []
+    for k, wanted in enumerate(sizes):
+        h = xxhash.xxh3_64()
+        for size, (i, _, s) in enumerate(full[k : k + max(wanted, default=0)], 1):
             h.update(s)
             h.update(b"\n")
-            n += words
-            if size in wanted and n >= wanted[size]:
+            if size in wanted:
                 digest = h.intdigest()
                 out.append((full[k][0], i - full[k][0] + 1, digest - (1 << 64) if digest >> 63 else digest))
     return out

@@ -75,6 +75,13 @@ def test_long_repeated_passage_goes_and_clean_text_stays(spark):
     assert got[5]["text"] == texts[5] and got[5]["n_removed"] == 0
 
 
+@pytest.mark.parametrize("lengths", [[5] * 11, [1] * 51, [14, 1, 1] * 3 + [1] * 3, [1] * 3 + [20] + [1] * 30])
+def test_a_passage_of_short_sentences_is_covered_whole(lengths):
+    passage = "".join(" ".join(f"p{k}x{i}" for i in range(n)) + ".\n" for k, n in enumerate(lengths))
+    got = brute_sentences([{"doc_id": d, "text": f"own{d} start here.\n{passage}own{d} end here."} for d in (1, 2)])
+    assert [n for _, n in got.values()] == [0, len(lengths)]
+
+
 def shingles(text, size):
     words = (text or "").encode().translate(ngram_join._LOWER).split()
     return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
