@@ -6,7 +6,8 @@ over the features that are significantly more frequent in toxic documents. Sente
 are the offending ones.
 
 Trained on a bounded sample of labelled rows outside the held-out third: at most SAMPLE_ROWS of each label, those of the
-smallest hash of their id, as long as they hold no more than SAMPLE_BYTES together. Only the text is an input of a score.
+smallest hash of their id, as long as they hold no more than half of SAMPLE_BYTES together. A text above the SHARES-th part
+of SAMPLE_BYTES isn't learnt from, and of rows of one id only the shortest is. Only the text is an input of a score.
 The model has a weight for each of at most the sample's words, so its size is bounded too.
 
 Defined cases: null or empty text has no sentence and score 0. Repeated rows score alike. Without toxic or without other
@@ -30,6 +31,7 @@ from .common import table
 FOLDS, HELD_OUT = 3, 1
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 24_000_000
+SHARES = 48
 MIN_DOCUMENTS = 5
 MIN_Z = 6.0
 STEMS = range(4, 9)
@@ -106,10 +108,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, m
     known = known.withColumn("h", F.xxhash64(F.lit(5), "doc_id"))
     wanted = [known.where(c).orderBy("h", "doc_id").limit(rows) for c in (F.col("toxic") > 0, F.col("toxic") <= 0)]
     # At most 2 * rows ids: a bound that doesn't grow with the data.
-    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(wanted[0].unionByName(wanted[1])), "doc_id")
-    sized = found.groupBy("doc_id", "h", "toxic").agg(F.min("text").alias("text")).withColumn("size", F.octet_length("text"))
-    so_far = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return sized.withColumn("so_far", F.sum("size").over(so_far)).where(F.col("so_far") <= most_bytes).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id", kind="stable")
+    texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("key"))
+    found = texts.select("doc_id", "key", F.octet_length("text").alias("size")).join(F.broadcast(wanted[0].unionByName(wanted[1])), "doc_id")
+    # Texts are chosen by size alone. A text beyond its share is left out by itself and doesn't count; half of the bytes are each label's.
+    sized = found.groupBy("doc_id", "h", "toxic").agg(F.min(F.struct("size", "key")).alias("t")).select("doc_id", "h", "toxic", "t.size", "t.key").where(F.col("size") <= most_bytes // SHARES)
+    so_far = Window.partitionBy(F.col("toxic") > 0).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = sized.withColumn("so_far", F.sum("size").over(so_far)).where(F.col("so_far") <= most_bytes // 2).select("doc_id", "key", "toxic")
+    return texts.join(F.broadcast(chosen), ["doc_id", "key"]).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id", kind="stable")
 
 
 def fit(sample: pd.DataFrame, steps: int = STEPS) -> Model:

@@ -94,6 +94,13 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean(caught) > 0.75 and np.mean(false) < 0.02
 
 
+def test_large_texts_do_not_drop_the_rest_of_the_sample(spark):
+    rows = [(i, "a large one " * 1000 if i % 7 == 0 else f"text {i}", 1, i % 2) for i in range(200)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], 1, r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    sample = toxicity.training_rows(docs, labels, most_bytes=11_000)
+    assert list(sample["doc_id"]) == [i for i in range(200) if i % 7 and zlib.crc32(str(i).encode()) % 3 != 1]
+
+
 def test_noisy_or_and_location():
     model = toxicity.Model({"bad": 8.0, "worse-": 6.0}, -5.0)
     p = [1 / (1 + math.exp(5)), 1 / (1 + math.exp(-3))]
