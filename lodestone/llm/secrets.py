@@ -104,7 +104,7 @@ def scan(docs: DataFrame, llr: list[int]) -> DataFrame:
     place = lambda i: f"locate(substring(x.v, {i}, 1), '{ALPHABET}')"
     ratio = f"aggregate(sequence(1, char_length(x.v) - 1), 0L, (t, i) -> t + element_at(llr, ({place('i')} - 1) * {n} + {place('i + 1')}))"
     base = found.select("*", F.expr("concat(transform(assign, x -> struct(x.s as s, 0 as k, x.e as e)), transform(access, x -> struct(x.s as s, 1 as k, x.e as e)), transform(hex, x -> struct(x.s as s, 2 as k, x.e as e)))").alias("base"))
-    base = base.withColumn("free", F.expr("filter(candidates, c -> c.v rlike '[A-Za-z]' and c.v rlike '[0-9+/]' and not exists(base, b -> b.s < c.e and c.s < b.e))"))
+    base = base.withColumn("free", F.expr("filter(candidates, c -> not exists(base, b -> b.s < c.e and c.s < b.e))"))
     # The table of ratios is named only where a candidate is left, which is seldom.
     judged = base.withColumn("llr", F.when(F.size("free") > 0, weights))
     judged = judged.withColumn("added", F.expr(f"case when size(free) > 0 then transform(free, x -> struct(x.s as s, 3 as k, x.e as e, {ratio} as r)) end"))

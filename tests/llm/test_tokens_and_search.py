@@ -157,6 +157,12 @@ def test_base_spans(spark, small):
     assert got[4]["spans"] == "markov:4:28"
 
 
+@pytest.mark.parametrize("key", ["XQZJVKWPFGHBDTYXRCLQ", "qzxjvkwpfghbdtyxrclqmwzx", "8204719365028417"])
+def test_the_ratio_alone_decides_on_keys_of_one_kind(spark, small, key):
+    docs = spark.createDataFrame([(1, f"the key {key} is here, and an internationalization_committee")], "doc_id long, text string")
+    assert secrets.scan(docs, secrets.ratios(small)).first()["spans"] == f"markov:8:{8 + len(key)}"
+
+
 def test_secrets_of_hard_rows(hard, none):
     llr = secrets.ratios(hard)
     assert secrets.scan(hard, llr).count() == hard.count() and secrets.scan(none, llr).count() == 0
