@@ -14,6 +14,8 @@ from lodestone.llm.common import stored, table
 
 #: Near duplicates: shingles of so many words, at so many per cent.
 SHINGLE, SIMILARITY = 5, 80
+#: Repeated runs of one or two lines go too if they have so many words.
+LONG_WORDS = 40
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines of runs that an earlier place has; documents stay, n_chars follows."""
-    return line_dedup.line_dedup(docs).select(docs.columns)
+    return line_dedup.line_dedup(docs, long_words=LONG_WORDS).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

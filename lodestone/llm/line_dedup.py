@@ -30,21 +30,28 @@ def text_key(text: Column | str = "text") -> Column:
     return F.xxhash64(text)
 
 
-def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, key, fingerprint, at (its line), content, first (the window's first line), lines: each window of each text."""
+def windows(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
+    """doc_id, key, fingerprint, at (its line), content, first (the window's first line), lines: each window of each text.
+    With long_words, runs of fewer lines that have so many words are windows as well."""
+    words = r", size(split(btrim(l, ' \t\r\f\u000b'), '[ \t\r\f\u000b]+')) as words" if long_words else ""
     lines = F.expr(
-        r"filter(transform(split(text, '\n'), (l, i) -> struct(xxhash64(btrim(l, ' \t\r\f\u000b')) as h, i as i, char_length(btrim(l, ' \t\r\f\u000b')) > 0 as full)), x -> x.full)"
+        rf"filter(transform(split(text, '\n'), (l, i) -> struct(xxhash64(btrim(l, ' \t\r\f\u000b')) as h, i as i, char_length(btrim(l, ' \t\r\f\u000b')) > 0 as full{words})), x -> x.full)"
     )
-    rows = docs.where("text is not null").select("doc_id", text_key().alias("key"), lines.alias("l")).where(F.size("l") >= window)
-    each = rows.select("doc_id", "key", F.explode(F.expr(f"transform(sequence(1, size(l) - {window - 1}), s -> slice(l, s, {window}))")).alias("w"))
+    rows = docs.where("text is not null").select("doc_id", text_key().alias("key"), lines.alias("l")).where(F.size("l") >= (1 if long_words else window))
+    of = lambda n: f"if(size(l) >= {n}, transform(sequence(1, greatest(size(l) - {n - 1}, 1)), s -> slice(l, s, {n})), filter(array(l), x -> false))"
+    wanted = of(window)
+    if long_words:
+        few = ", ".join(f"filter({of(n)}, w -> aggregate(w, 0, (a, x) -> a + x.words) >= {long_words})" for n in range(1, window))
+        wanted = f"concat({wanted}, {few})"
+    each = rows.select("doc_id", "key", F.explode(F.expr(wanted)).alias("w"))
     least = F.expr("array_min(transform(w, x -> struct(x.h as h, x.i as i)))")
     content = F.expr("aggregate(w, 0L, (a, x) -> xxhash64(a, x.h))")
     return each.select("doc_id", "key", least.alias("f"), content.alias("content"), F.expr("transform(w, x -> x.i)").alias("lines")).select("doc_id", "key", F.col("f.h").alias("fingerprint"), F.col("f.i").alias("at"), "content", "lines")
 
 
-def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """doc_id, key, gone: for each text that loses lines, their numbers."""
-    found = stored(windows(docs, window))
+    found = stored(windows(docs, window, long_words))
     place = F.struct("doc_id", "key", "at")
     again = found.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fingerprint")
     near = found.join(again, "fingerprint", "left_semi")
@@ -54,9 +61,9 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return later.select("doc_id", "key", F.explode("lines").alias("line")).groupBy("doc_id", "key").agg(F.collect_set("line").alias("gone"))
 
 
-def line_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def line_dedup(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """docs with the repeated lines deleted, and the number of those as the last column."""
-    gone = repeated_lines(docs, window)
+    gone = repeated_lines(docs, window, long_words)
     key, other_id, other_key, lost, n = fresh(docs, "text_key", "gone_id", "gone_key", "gone", "n_deleted_lines")
     gone = gone.toDF(other_id, other_key, lost)
     joined = docs.withColumn(key, text_key()).join(gone, F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key)), "left")

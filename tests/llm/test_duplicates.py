@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestone.llm import line_dedup, ngram_join, substring_dedup
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -64,6 +65,15 @@ def test_repeated_rows_do_not_delete_each_other(hard):
     assert len(got) == 2 and all(r["text"] == "" and r["n_deleted_lines"] == 4 and r["n_chars"] == 0 for r in got)
 
 
+def test_the_pipeline_drops_long_passages_on_one_or_two_lines(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    two = two.replace(" b25 ", " b25\n\n")
+    texts = [one, f"x\n{one}", f"{two}\nown", f"other\n{two}", "short line\ntwo", "short line\ntwo"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, None).orderBy("doc_id").collect()]
+    assert got == [one, "x", f"{two}\nown", "other\n", "short line\ntwo", "short line\ntwo"]
+
+
 def test_long_repeated_passage_goes_and_clean_text_stays(spark):
     random.seed(5)
     words = ["w" + str(random.randrange(5000)) for _ in range(4000)]
