@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +65,42 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def text_slices(texts, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """start, end of runs of an Arrow array of texts that hold no more than so many bytes together, or one text."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(ends):
+        before = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield a, b
+        a = b
+
+
+def give_back() -> None:
+    """Returns what a Python worker has freed to the machine. Workers live on between tasks, and what they hold lessens what others have."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to do
+        pass
+
+
+def joined_by_key(rows: DataFrame, per_key: DataFrame, *on: str, share: int = 1000) -> DataFrame:
+    """rows joined with per_key(on, n, ...), which has one row for each key and its number n of rows; n goes.
+
+    Keys that hold more than the share-th part of the rows are share at most, so they are broadcast; their rows aren't dealt out
+    by key and never meet in a task. The others join by shuffle. rows are read twice: they should be stored."""
+    per_key = stored(per_key)
+    total = per_key.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(per_key.where(F.col("n") > total // share).drop("n"))
+    rest = rows.join(hot.select(*on), list(on), "left_anti").join(per_key.where(F.col("n") <= total // share).drop("n"), list(on))
+    return rows.join(hot, list(on)).unionByName(rest)
+
+
 def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
     """A uniform double in (0, 1) from the values of cols: 52 bits of an MD5, the same in any SQL engine."""
     text = F.concat_ws(":", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("null")) for c in [*(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols), F.lit(str(seed))]])

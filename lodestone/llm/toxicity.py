@@ -19,14 +19,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table, text_slices
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE_ROWS = 3000
@@ -35,7 +34,7 @@ SHARES = 48
 MIN_DOCUMENTS = 5
 MIN_Z = 6.0
 STEMS = range(4, 9)
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 CUT = 0.7
 SENTENCE_CUT = 0.5
 STEPS = 300
@@ -182,17 +181,41 @@ def locator(model: Model):
     return locate
 
 
+def without_toxic(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
+    """The rows of docs whose text scores below cut, as they are."""
+    place = docs.columns.index("text")
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for a, b in text_slices(batch.column(place)):
+                rows = batch.slice(a, b - a)
+                yield rows.filter(pa.array([model.score(t) < cut for t in rows.column(place).to_pylist()], pa.bool_()))
+        model.known.clear()
+        give_back()
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def toxicity(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted, offending for each row of docs(doc_id, text)."""
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            scores = [model.score(t) for t in rows["text"]]
-            # Only what is likely toxic is read again for its sentences.
-            where = [[{"start": s, "end": e, "score": p} for s, e, p in model.offending(t)] if x >= SENTENCE_CUT else [] for t, x in zip(rows["text"], scores, strict=True)]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "score": np.array(scores, dtype=float), "offending": where})
-
-    scored = docs.select("doc_id", "text").mapInPandas(judge, "doc_id long, score double, offending array<struct<start: int, end: int, score: double>>")
+    def judge(batches):
+        import pyarrow as pa
+
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+        for batch in batches:
+            for a, b in text_slices(batch.column(1)):
+                texts = batch.column(1)[a:b].to_pylist()
+                scores = [model.score(t) for t in texts]
+                # Only what is likely toxic is read again for its sentences.
+                where = [[{"start": s, "end": e, "score": p} for s, e, p in model.offending(t)] if x >= SENTENCE_CUT else [] for t, x in zip(texts, scores, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(scores, pa.float64()), pa.array(where, span)], names=["doc_id", "score", "offending"])
+        model.known.clear()
+        give_back()
+
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, "doc_id long, score double, offending array<struct<start: int, end: int, score: double>>")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "offending")
 
 

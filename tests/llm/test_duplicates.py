@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,17 +18,21 @@ def in_order(rows):
     return sorted({(r["doc_id"], r["text"]) for r in rows if r["text"] is not None}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
-def brute_lines(rows, window=3):
+def brute_lines(rows, window=3, long_words=None):
+    """Lines in runs of window lines, or of fewer that have long_words words, that occur at an earlier place."""
     seen, out = set(), {}
     for d, t in in_order(rows):
         ls = t.split("\n")
         full = [(i, x) for i, x in ((i, x.strip(" \t\r\f\x0b")) for i, x in enumerate(ls)) if x]
         gone = set()
-        for k in range(len(full) - window + 1):
-            w = tuple(x for _, x in full[k : k + window])
-            if w in seen:
-                gone |= {i for i, _ in full[k : k + window]}
-            seen.add(w)
+        for n in range(1 if long_words else window, window + 1):
+            for k in range(len(full) - n + 1):
+                w = tuple(x for _, x in full[k : k + n])
+                if n < window and sum(len(re.findall(r"[^ \t\r\f\x0b]+", x)) for x in w) < long_words:
+                    continue
+                if w in seen:
+                    gone |= {i for i, _ in full[k : k + n]}
+                seen.add(w)
         out[d, t] = ("\n".join(x for i, x in enumerate(ls) if i not in gone), len(gone))
     return out
 
