@@ -1,15 +1,16 @@
 """Line dedup by winnowing over line hashes.
 
 A text's lines with a word in them are hashed. Of every WINDOW consecutive lines the smallest hash is a fingerprint, so any
-run of at least WINDOW lines that two places share has a fingerprint in common (winnowing's guarantee). Positions join on
-the fingerprints that occur more than once; around them a match is extended window by window, both ways, for as long as
-the lines agree: each window of lines that holds such a fingerprint is held against the first place that has the same
-window. Lines in a run of WINDOW or more that an earlier place has are deleted.
+run of at least WINDOW lines that two places share has a fingerprint in common (winnowing's guarantee). Only the selected
+positions, about half of the lines, are kept; they join on the fingerprints that occur more than once. Around those a match is
+extended both ways over the windows whose smallest line the position is, and held against the first place that has the same
+lines, by 128 bits of each. Lines in a run of WINDOW or more that an earlier place has are deleted.
 
 Places are in the order of doc_id, hash of the text, line; null ids come first. So the result is exactly: a line goes if
 it lies in WINDOW consecutive lines (blank ones aside) that occur at an earlier place.
 
-Grouping by window needs a minimum only, and what joins a hot window is one row, so no group is ever gathered.
+Grouping needs a minimum only, and what joins a frequent line or window is one row, broadcast if it is one of the few that hold
+a thousandth of all rows each; so no group is ever gathered.
 
 Defined cases: null and empty texts stay as they are; blank lines stay and count as no line. Lines are compared without
 white space at their ends. Rows with the same id and text are one document: they lose the same lines, and none on account
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table
+from .common import fresh, joined_by_key, stored, table
 
 WINDOW = 3
 
@@ -30,44 +31,57 @@ def text_key(text: Column | str = "text") -> Column:
     return F.xxhash64(text)
 
 
-def windows(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
-    """doc_id, key, fingerprint, at (its line), content, first (the window's first line), lines: each window of each text.
+def positions(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
+    """doc_id, key, fingerprint, at (its line), w: the selected positions of each text, and the windows whose smallest line each is
+    (content: 128 bits of the lines, n: their number, lines: their numbers in the text).
     With long_words, runs of fewer lines that have so many words are windows as well."""
-    words = r", size(split(btrim(l, ' \t\r\f\u000b'), '[ \t\r\f\u000b]+')) as words" if long_words else ""
-    lines = F.expr(
-        rf"filter(transform(split(text, '\n'), (l, i) -> struct(xxhash64(btrim(l, ' \t\r\f\u000b')) as h, i as i, char_length(btrim(l, ' \t\r\f\u000b')) > 0 as full{words})), x -> x.full)"
-    )
+    strip = r"btrim(l, ' \t\r\f\u000b')"
+    words = rf", size(split({strip}, '[ \t\r\f\u000b]+')) as words" if long_words else ""
+    lines = F.expr(rf"filter(transform(split(text, '\n'), (l, i) -> struct(xxhash64({strip}) as h, i as i, char_length({strip}) > 0 as full, xxhash64(7, {strip}) as g{words})), x -> x.full)")
     rows = docs.where("text is not null").select("doc_id", text_key().alias("key"), lines.alias("l")).where(F.size("l") >= (1 if long_words else window))
-    of = lambda n: f"if(size(l) >= {n}, transform(sequence(1, greatest(size(l) - {n - 1}, 1)), s -> slice(l, s, {n})), filter(array(l), x -> false))"
-    wanted = of(window)
-    if long_words:
-        few = ", ".join(f"filter({of(n)}, w -> aggregate(w, 0, (a, x) -> a + x.words) >= {long_words})" for n in range(1, window))
-        wanted = f"concat({wanted}, {few})"
-    each = rows.select("doc_id", "key", F.explode(F.expr(wanted)).alias("w"))
-    least = F.expr("array_min(transform(w, x -> struct(x.h as h, x.i as i)))")
-    content = F.expr("aggregate(w, 0L, (a, x) -> xxhash64(a, x.h))")
-    return each.select("doc_id", "key", least.alias("f"), content.alias("content"), F.expr("transform(w, x -> x.i)").alias("lines")).select("doc_id", "key", F.col("f.h").alias("fingerprint"), F.col("f.i").alias("at"), "content", "lines")
+    # For each line, the windows that begin there: the place of the smallest of their lines, and what they hold.
+    sizes = range(1 if long_words else window, window + 1)
+    for n in sizes:
+        some = f"slice(l, s + 1, {n})"
+        least = f"array_min(transform({some}, (x, k) -> struct(x.h as h, s + k as k))).k"
+        a, b = (f"aggregate({some}, {seed}L, (a, x) -> xxhash64(a, x.{h}))" for seed, h in enumerate("hg"))
+        enough = f" and aggregate({some}, 0, (a, x) -> a + x.words) >= {long_words}" if n < window else ""
+        rows = rows.withColumn(f"w{n}", F.expr(f"transform(l, (x, s) -> case when s + {n} <= size(l){enough} then struct({least} as k, s as s, {a} as a, {b} as b) end)"))
+    # A line is selected if it is the smallest of one of the windows around it, of which there are as many as they are long.
+    around = lambda n: f"filter(slice(w{n}, greatest(k - {n - 2}, 1), least(k + 1, {n})), w -> w.k = k)"
+    own = ", ".join(f"transform({around(n)}, w -> struct(w.a as a, w.b as b, {n} as n, transform(slice(l, w.s + 1, {n}), y -> y.i) as lines))" for n in sizes)
+    picked = F.expr(f"filter(transform(l, (x, k) -> struct(x.h as fingerprint, x.i as at, concat({own}) as w)), p -> size(p.w) > 0)")
+    return rows.select("doc_id", "key", F.explode(picked).alias("p")).select("doc_id", "key", "p.fingerprint", "p.at", "p.w")
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """doc_id, key, gone: for each text that loses lines, their numbers."""
-    found = stored(windows(docs, window, long_words))
+    found = stored(positions(docs, window, long_words))
     place = F.struct("doc_id", "key", "at")
-    again = found.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fingerprint")
-    near = found.join(again, "fingerprint", "left_semi")
+    again = found.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).where("a != b").select("fingerprint", "n")
+    near = joined_by_key(found, again, "fingerprint").select("doc_id", "key", F.explode("w").alias("w")).select("doc_id", "key", "w.*")
+    near = stored(near)
+    # Positions with a line in common are told apart by the lines around it: those of equal windows match, and the first place stays.
     start = F.struct("doc_id", "key", F.element_at("lines", 1).alias("line"))
-    firsts = near.groupBy("fingerprint", "content").agg(F.min(start).alias("first"), F.max(start).alias("last")).where("first != last").drop("last")
-    later = near.join(firsts, ["fingerprint", "content"]).where(start > F.col("first"))
+    firsts = near.groupBy("a", "b").agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count(F.lit(1)).alias("n")).where("first != last").select("a", "b", "first", "n")
+    later = joined_by_key(near.withColumnRenamed("n", "size"), firsts, "a", "b").where(start > F.col("first"))
     return later.select("doc_id", "key", F.explode("lines").alias("line")).groupBy("doc_id", "key").agg(F.collect_set("line").alias("gone"))
 
 
+def _without(lines: Column, gone: Column) -> Column:
+    """The lines but for those of the given numbers, joined."""
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)  # looks numbers up: linear in a long text
+    return F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n")
+
+
 def line_dedup(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """docs with the repeated lines deleted, and the number of those as the last column."""
     gone = repeated_lines(docs, window, long_words)
-    key, other_id, other_key, lost, n = fresh(docs, "text_key", "gone_id", "gone_key", "gone", "n_deleted_lines")
+    key, other_id, other_key, lost, parts, n = fresh(docs, "text_key", "gone_id", "gone_key", "gone", "parts", "n_deleted_lines")
     gone = gone.toDF(other_id, other_key, lost)
     joined = docs.withColumn(key, text_key()).join(gone, F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key)), "left")
-    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col(lost), i)), "\n"))
+    joined = joined.withColumn(parts, F.when(F.col(lost).isNotNull(), F.split("text", "\n")))
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(_without(F.col(parts), F.col(lost)))
     out = {"text": text} | ({"n_chars": F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
     return joined.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias(n))
 
