@@ -9,15 +9,16 @@ uses that three times, each with less data:
    shingles as a linked set must share occur in another class's prefix, and once more among the classes that go on.
    Only prefixes travel, a fifth of the shingles.
 2. Of the classes that go on all shingles are counted. A class goes on if, without those that only it has, enough is left.
-3. Indexing. In the order of rarity, prefixes are extended to share K shingles. A rare shingle (in at most RARE classes)
-   is a key by itself; frequent ones only in combinations of K. Linked sets share a rare one, or K frequent ones. Sets of
-   a slack above WIDE_SLACK would have too many combinations; for those, frequent shingles are keys by themselves, and
-   sets small enough to link across that bound have both kinds.
+3. Indexing. In the order of rarity, prefixes are extended to share more shingles. A rare shingle (in at most RARE classes)
+   is a key by itself; frequent ones only in combinations of K. So that long sets haven't a number of combinations that
+   grows with the square of their slack, shingles fall into g parts by their value, g a power of two about the slack's
+   CLASS-th part; prefixes are extended to share g + 1, of which two fall into one part, and only combinations within a part
+   are keys. A pair goes by the smaller set's g, so a set has the keys of each g that its partners' sizes may have, two at most
+   for a threshold of 50 or more. Linked sets share a rare shingle or a combination.
 
 Verification avoids pairs within a key's group. First each member is compared with the key's pivot, the member with the
 fewest shingles of its own; those links make components. Then only members of different components that share a key
-are compared, if sizes, shared shingles and what their prefixes share leave a link possible, each pair under its first
-common key alone. No link that joins two components is lost.
+are compared, if sizes, shared shingles and what their prefixes share leave a link possible, each pair once. No link that joins two components is lost.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; their component is their own id. Texts of
 fewer words than a shingle are one shingle of all their words. Repeated rows are equal sets. Null ids are members like
@@ -31,18 +32,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table
+from .common import fresh, give_back, joined_by_key, stored, table, text_slices
 from .components import components
 
 SHINGLE = 3
 THRESHOLD = 90
 K = 2
 RARE = 24
-#: Sets whose slack is at most this are indexed by combinations, of which they have half its square at most.
-WIDE_SLACK = 32
+#: Slack for each part that frequent shingles fall into.
+CLASS = 8
 #: Up to so many chosen rows (some 40 bytes each) are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -87,18 +88,20 @@ def _sets(batches, size: int, threshold: int, whole: bool):
 
     for batch in batches:
         first, texts, key = batch.column(0), batch.column(1), batch.column(batch.num_columns - 1)
-        for at in range(0, len(texts), 256):
-            some = texts[at : at + 256].to_pylist()
+        for at, end in text_slices(texts, 1_000_000):
+            some = texts[at:end].to_pylist()
             sets = [shingles(t, size) for t in some]
             take = sets if whole else [s[: slack(len(s), threshold) + shared(len(s), threshold)] for s in sets]
             ends = np.zeros(len(take) + 1, dtype=np.int32)
             np.cumsum([len(s) for s in take], out=ends[1:])
             flat = pa.array(np.concatenate(take) if take else np.zeros(0, np.int64), pa.int64())
-            cols = [first[at : at + 256]]
+            cols = [first[at:end]]
             if not whole:
-                cols += [key[at : at + 256], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
+                cols += [key[at:end], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
             cols.append(pa.ListArray.from_arrays(pa.array(ends), flat))
             yield pa.RecordBatch.from_arrays(cols, names=["cls", "tokens"] if whole else ["doc_id", "key", "n", "cls", "prefix"])
+    _WORDS.clear()
+    give_back()
 
 
 def document_sets(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -166,46 +169,45 @@ def candidate_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, size: i
     return sets.select("id", "cls"), stored(kept.select("id", "n", F.size("tokens").cast("long").alias("v"), "tokens"))
 
 
-def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
-    """id, n, v, p: the extended prefix of each set, less the shingles that are its own, rarest first, with their counts."""
-    length = F.greatest(F.lit(0), _slack(F.col("n"), threshold) + K - (F.col("n") - F.col("v"))).cast("int")
-    return sets.select("id", "n", "v", F.slice("tokens", 1, length).alias("p"))
+def _level(n: Column, threshold: int) -> Column:
+    """The exponent of g, the number of parts, for a set of n shingles."""
+    return F.floor(F.log2(F.greatest(F.lit(1), F.floor(_slack(n, threshold) / CLASS)).cast("double"))).cast("int")
+
+
+def _parts(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level).cast("long")
 
 
-def _wide(threshold: int) -> int:
-    return 100 * WIDE_SLACK // (100 - threshold) if threshold < 100 else 1 << 40
+def _length(level: Column, threshold: int) -> Column:
+    """The prefix that shares _parts(level) + 1 shingles with a linked set's, less the shingles that are a set's own."""
+    return F.greatest(F.lit(0), _slack(F.col("n"), threshold) + _parts(level) + 1 - (F.col("n") - F.col("v"))).cast("int")
+
+
+def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """id, n, v, p: the longest extended prefix of each set, less the shingles that are its own, rarest first, with their counts."""
+    return sets.select("id", "n", "v", F.slice("tokens", F.lit(1), _length(_level(F.col("n"), threshold), threshold)).alias("p"))
 
 
 def keys(rows: DataFrame, threshold: int) -> DataFrame:
     """key, id, n, v: the keys of each of prefixes(), single shingles and combinations."""
-    frequent = F.transform(F.filter("p", lambda x: x["c"] > RARE), lambda x: x["token"])
-    rows = rows.select("id", "n", "v", F.transform(F.filter("p", lambda x: x["c"] <= RARE), lambda x: x["token"]).alias("single"), frequent.alias("frequent"))
-    pairs = F.expr("flatten(transform(frequent, (x, i) -> transform(slice(frequent, i + 2, size(frequent)), y -> xxhash64(x, y))))")
-    wide = _wide(threshold)
-    both = rows.select(
-        "id",
-        "n",
-        "v",
-        F.concat(
-            "single",
-            F.when(F.col("n") <= wide, pairs).otherwise(F.array().cast("array<long>")),
-            F.when(100 * F.col("n") >= threshold * wide, F.col("frequent")).otherwise(F.array().cast("array<long>")),
-        ).alias("keys"),
-    )
-    return both.select("id", "n", "v", F.explode("keys").alias("key"))
+    single = rows.select("id", "n", "v", F.explode(F.transform(F.filter("p", lambda x: x["c"] <= RARE), lambda x: x["token"])).alias("key"))
+    frequent = F.transform(F.filter(F.slice("p", F.lit(1), _length(F.col("level"), threshold)), lambda x: x["c"] > RARE), lambda x: x["token"])
+    levels = F.sequence(_level(F.ceil(F.col("n") * threshold / 100), threshold), _level(F.col("n"), threshold))
+    leveled = rows.select("*", F.explode(levels).alias("level")).select("id", "n", "v", "level", F.posexplode(frequent).alias("at", "token"))
+    part = F.pmod(F.col("token"), _parts(F.col("level")))
+    parts = leveled.groupBy("id", "n", "v", "level", part.alias("part")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("f"))
+    pairs = F.expr("flatten(transform(f, (x, i) -> transform(slice(f, i + 2, size(f)), y -> xxhash64(x, y))))")
+    combined = parts.where(F.size("f") >= K).select("id", "n", "v", F.explode(pairs).alias("key"))
+    return single.unionByName(combined)
 
 
 def _open_pairs(x: DataFrame, y: DataFrame, threshold: int) -> DataFrame:
-    """a, b of different components that may link, once each: under the key of the first shingles that their prefixes share."""
-    both = F.array_intersect("pa", "pb")
-    first, second = F.get(both, F.lit(0)), F.get(both, F.lit(1))
-    combined = (F.array_position("pa", first) > F.col("ra")) & (F.greatest("na", "nb") <= _wide(threshold))
-    own_key = F.when(combined, F.xxhash64(first, second)).otherwise(first)
+    """a, b of different components that share a key and may link, once each."""
     # Up to the end of the prefix that ends first, what is shared is in both; beyond it, all that is left of that set may be shared.
-    most = F.size(both) + F.when(F.col("ea") <= F.col("eb"), F.col("va") - F.size("pa")).otherwise(F.col("vb") - F.size("pb"))
+    most = F.size(F.array_intersect("pa", "pb")) + F.when(F.col("ea") <= F.col("eb"), F.col("va") - F.size("pa")).otherwise(F.col("vb") - F.size("pb"))
     possible = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(F.col("na"), F.col("va"), F.col("nb"), F.col("vb"), threshold)
-    on = (x["key"] == y["key"]) & possible & ((100 + threshold) * most >= threshold * (F.col("na") + F.col("nb"))) & (x["key"] == own_key)
-    return x.join(y, on).select("a", "b")
+    on = (x["key"] == y["key"]) & possible & ((100 + threshold) * most >= threshold * (F.col("na") + F.col("nb")))
+    return x.join(y, on).select("a", "b").distinct()
 
 
 def class_components(docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -216,19 +218,19 @@ def class_components(docs: DataFrame, rows: DataFrame, classes: DataFrame, size:
     indexed = stored(keys(prefixed, threshold))
     pivots = indexed.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("v")).alias("own"), "id", "n", "v")).alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1")
     a, b = F.col("id"), F.col("pivot.id")
-    near = indexed.join(pivots.select("key", "pivot"), "key").where((a != b) & _may_link(F.col("n"), F.col("v"), F.col("pivot.n"), F.col("pivot.v"), threshold))
+    near = joined_by_key(indexed, pivots.select("key", "pivot", F.col("c").alias("n")), "key").where((a != b) & _may_link(F.col("n"), F.col("v"), F.col("pivot.n"), F.col("pivot.v"), threshold))
     links = stored(_links(near.select(a.alias("a"), b.alias("b")).distinct(), bare, threshold))
     made = components(links)
     # What is left: members of different components under one key. A member whose largest possible partner is smaller than all of them has none.
     largest = F.floor((100 + threshold) * F.col("v") / threshold) - F.col("n")
-    placed = indexed.join(made.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "v", F.coalesce("component", "id").alias("component"), largest.alias("largest"))
-    least = placed.groupBy("key").agg(F.min("n").alias("least"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key", "least")
-    alive = placed.join(least, "key").where("largest >= least").drop("least")
-    open_keys = alive.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key")
-    alive = alive.join(open_keys, "key", "left_semi").drop("largest")
-    ordered = prefixed.select("id", F.transform("p", lambda x: x["token"]).alias("p"), F.size(F.filter("p", lambda x: x["c"] <= RARE)).alias("rare"), F.get("p", F.size("p") - 1).alias("end"))
-    alive = stored(alive.join(ordered, "id").select("key", "id", "n", "v", "component", "p", "rare", "end"))
-    rest = _open_pairs(alive.toDF("key", "a", "na", "va", "ca", "pa", "ra", "ea"), alive.toDF("key", "b", "nb", "vb", "cb", "pb", "rb", "eb"), threshold)
+    placed = stored(indexed.join(made.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.col("n").alias("size"), "v", F.coalesce("component", "id").alias("component"), largest.alias("largest")))
+    least = placed.groupBy("key").agg(F.min("size").alias("least"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n")).where("c1 != c2").select("key", "least", "n")
+    alive = stored(joined_by_key(placed, least, "key").where("largest >= least").drop("least", "largest"))
+    open_keys = alive.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n")).where("c1 != c2").select("key", "n")
+    alive = joined_by_key(alive, open_keys, "key").withColumnRenamed("size", "n")
+    ordered = prefixed.select("id", F.transform("p", lambda x: x["token"]).alias("p"), F.get("p", F.size("p") - 1).alias("end"))
+    alive = stored(alive.join(ordered, "id").select("key", "id", "n", "v", "component", "p", "end"))
+    rest = _open_pairs(alive.toDF("key", "a", "na", "va", "ca", "pa", "ea"), alive.toDF("key", "b", "nb", "vb", "cb", "pb", "eb"), threshold)
     more = stored(_links(rest, bare, threshold))
     made = made if more.isEmpty() else components(links.unionByName(more))
     return names.join(made.withColumnRenamed("node", "id"), "id").select("cls", "component")
@@ -240,8 +242,8 @@ def grouped(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) ->
     classes = rows.where("n > 0").groupBy("cls", "n").agg(F.min(F.struct("doc_id", "key")).alias("place"), F.min("doc_id").alias("id"), F.min_by("row", F.struct("doc_id", "key", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes)
     made = stored(class_components(docs, rows, classes, size, threshold))
-    least = classes.select("cls", "id").join(made, "cls").groupBy("component").agg(F.min("id").alias("least"))
-    of_class = classes.select("cls", "id").join(made, "cls", "left").join(least, "component", "left")
+    least = classes.select("cls", "id").join(made, "cls").groupBy("component").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    of_class = classes.select("cls", "id").join(joined_by_key(made, least, "component"), "cls", "left")
     of_class = of_class.select("cls", F.coalesce(F.col("component").cast("string").cast("binary"), "cls").alias("linked"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
     found = rows.drop("prefix").join(of_class, "cls", "left")
     return found.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
