@@ -5,8 +5,10 @@ each dimension. A query accumulates its products one block of dimensions after a
 can't exceed what it has plus the product of the norms of both remainders, so candidates below the query's k-th best so
 far are dropped and the rest compacted. The best of each block are merged for each query.
 
-Queries are dealt into blocks by a hash of their id, and every block of candidates meets every block of queries through
-an equality join on the query block's number. Both kinds of block are bounded, and only k rows a query leave a pair.
+Blocks of candidates are dealt into groups, a unit of work each, and travel once; blocks of queries, the smaller side, go to
+every group through an equality join on its number. Both kinds of block are bounded. The scores that queries have with the
+BAR_ROWS longest vectors, likely the best, bound their k-th best from below; so all groups prune by a common bar from the
+start, and few rows leave a pair of blocks.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of unlike lengths don't
 meet. Equal scores go by the smaller vec_id. Rows with the query's own id are no candidates of it. Of query rows with one
@@ -30,7 +32,12 @@ TOP = 5
 EVERY = 50
 DIMENSIONS = 16
 QUERY_BLOCK = 1024
-CANDIDATE_BLOCK = 4096
+CANDIDATE_BLOCK = 1024
+#: Candidates of a group at least; there are no more groups than GROUPS_PER_CORE times the cores.
+GROUP_ROWS = 2048
+GROUPS_PER_CORE = 8
+#: Longest vectors whose scores give each query its first bar: a bound that doesn't grow with the data.
+BAR_ROWS = 2048
 _BLOCK = "q long, dims int, ids binary, data binary"
 
 
@@ -45,8 +52,16 @@ def _packed(rows: pd.DataFrame, most: int, q: int) -> Iterator[dict]:
         for at in range(0, len(same), most):
             part = same.iloc[at : at + most]
             data = np.array(part["v"].tolist(), dtype=np.int64).reshape(len(part), int(dims))
+            kind = np.int16 if np.abs(data).max(initial=0) < 2**15 else np.int64
             # Vertical layout: the values of a dimension stand together.
-            yield {"q": q, "dims": int(dims), "ids": part["vec_id"].to_numpy(dtype=np.int64).tobytes(), "data": np.ascontiguousarray(data.T).tobytes()}
+            yield {"q": q, "dims": int(dims), "ids": part["vec_id"].to_numpy(dtype=np.int64).tobytes(), "data": np.ascontiguousarray(data.T.astype(kind)).tobytes()}
+
+
+def _unpacked(dims: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a block, and its values with a row for each dimension."""
+    of = np.frombuffer(ids, np.int64)
+    kind = np.int16 if len(data) == 2 * dims * len(of) else np.int64
+    return of, np.frombuffer(data, kind).reshape(dims, len(of)).astype(np.int64)
 
 
 def _pack_candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,8 +74,9 @@ def _pack_queries(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(list(_packed(rows, QUERY_BLOCK, int(rows["q"].iloc[0]))), columns=["q", "dims", "ids", "data"])
 
 
-def block_top(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int = TOP, step: int = DIMENSIONS) -> list[tuple[int, int, int]]:
-    """query id, candidate id, score of each query's k best of a block. queries: a row each; data: a row for each dimension."""
+def block_top(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int = TOP, step: int = DIMENSIONS, bars: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """query id, candidate id, score of each query's k best of a block. queries: a row each; data: a row for each dimension.
+    bars: a score that each query's k-th best of all blocks has at least; what is below it may be left out."""
     dims = len(data)
     exact = dims * float(np.abs(data).max(initial=0)) * float(np.abs(queries).max(initial=0)) < 2.0**52
     kind = np.float64 if exact else object
@@ -75,6 +91,7 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids:
         first = (ids != query_id).nonzero()[0][: max(64, 4 * k)]
         sure = query @ data[:, first] if dims else np.zeros(len(first))
         bar = np.partition(sure.astype(float), -k)[-k] if len(first) >= k else -np.inf
+        bar = bar if bars is None else max(bar, bars[i])
         at, got = None, None
         for c, far, near in zip(cuts, rest, own, strict=True):
             block = data[c : c + step] if at is None else data[c : c + step, at]
@@ -95,32 +112,68 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids:
     return out
 
 
+def _bars(k: int):
+    """Adds to blocks of queries the k-th best score of each with the sample, less than any score where it has fewer."""
+
+    def bars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                ids, data = _unpacked(r.dims, r.ids, r.data)
+                bar = np.full(len(ids), -np.inf)
+                if r.s_ids is not None:
+                    best: dict[int, list[int]] = {}
+                    for q, _, score in block_top(data.T, ids, *_unpacked(r.dims, r.s_ids, r.s_data)[::-1], k):
+                        best.setdefault(q, []).append(score)
+                    bar = np.array([min(best[i]) if len(best.get(i, ())) == k else -np.inf for i in ids.tolist()])
+                out.append(bar.tobytes())
+            yield rows[["dims", "ids", "data"]].assign(bars=out)
+
+    return bars
+
+
 def _match(k: int):
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for r in rows.itertuples(index=False):
-                q_ids, c_ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
-                queries = np.frombuffer(r.q_data, np.int64).reshape(r.dims, len(q_ids)).T
-                data = np.frombuffer(r.data, np.int64).reshape(r.dims, len(c_ids))
-                yield pd.DataFrame(block_top(queries, q_ids, data, c_ids, k), columns=["query_id", "vec_id", "score"])
+                q_ids, queries = _unpacked(r.dims, r.q_ids, r.q_data)
+                ids, data = _unpacked(r.dims, r.ids, r.data)
+                yield pd.DataFrame(block_top(queries.T, q_ids, data, ids, k, bars=np.frombuffer(r.bars, float)), columns=["query_id", "vec_id", "score"])
 
     return match
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score from whole vectors (vec_id, v) of both sides."""
+    cores = candidates.sparkSession.sparkContext.defaultParallelism
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("q").applyInPandas(_pack_queries, _BLOCK)
+    groups = max(1, min(-(-candidates.count() // GROUP_ROWS), GROUPS_PER_CORE * cores))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    longest = candidates.orderBy(norm.desc(), "vec_id").limit(BAR_ROWS).coalesce(1).mapInPandas(_sample, _BLOCK)
+    asked = queries.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("q").applyInPandas(_pack_queries, _BLOCK).drop("q")
+    sample = longest.select("dims", F.col("ids").alias("s_ids"), F.col("data").alias("s_data"))
+    # At most BAR_ROWS vectors, in a block for each length.
+    asked = asked.join(F.broadcast(sample), "dims", "left").mapInPandas(_bars(k), "dims int, ids binary, data binary, bars binary")
+    asked = asked.select("dims", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "bars", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
     packed = candidates.mapInPandas(_pack_candidates, _BLOCK).drop("q")
-    dealt = packed.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    # A pair of blocks is a unit of work of its own: dealt out evenly, whatever the join has put together.
-    pairs = dealt.join(asked.select("q", "dims", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), ["q", "dims"])
+    # Blocks are numbered as they come, so groups are alike in size; a partition's first goes on where others begin at random.
+    number = F.xxhash64(F.spark_partition_id()) + F.monotonically_increasing_id() % (1 << 33)
+    dealt = packed.withColumn("g", F.pmod(number, F.lit(groups)))
+    # Groups are work, not bytes: so many tasks, whatever the size of their rows.
+    pairs = dealt.repartition(groups, "g", "dims").join(asked.repartition(groups, "g", "dims").hint("shuffle_merge"), ["g", "dims"])
     found = pairs.mapInPandas(_match(k), "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One block for each length of the vectors of all batches."""
+    rows = pd.concat([pd.DataFrame(columns=["vec_id", "v"]), *batches])
+    for block in _packed(rows, BAR_ROWS, -1):
+        yield pd.DataFrame([block])
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whole(table(spark, sf_dir, "embeddings"))
     return top_k(rows, rows.where(F.col("vec_id") % EVERY == 0))
