@@ -12,7 +12,7 @@ The sample comes with inclusion scores 1 - exp(-exp(log p - threshold)), the thr
 left out. Random numbers hash the row's key, the round and the byte offset: a row's sample depends on nothing else.
 
 Pieces never hold a blank mark but in front, so a text's lattice is a chain of its words' lattices, and a batch builds that
-of each distinct word once. Batches are bounded in bytes; texts are taken whole.
+of each distinct word once. Batches are bounded in bytes; a longer text is gone through in parts, with the same samples.
 
 Defined cases: null text has no sample, empty text the empty segmentation alone. Texts with fewer than k segmentations give
 all, with inclusion 1. Repeated rows have the same sample, null ids share one key. A blank mark in a text decodes as a blank.
@@ -28,26 +28,47 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table, text_slices
 
 SAMPLES = 3
 ALPHA = 1.0
 RANK_OFFSET = 10
 BATCH_BYTES = 1_600_000
+WALK_BYTES = 800_000
+#: Bytes before the end of a word within which probabilities are multiplied as they are.
+PLAIN = 48
+#: Words whose lattices are built at a time.
+CHUNK_WORDS = 12_000
 BLANK = "▁"
 SCHEMA = "doc_id long, samples array<struct<ids: array<int>, log_p: double, inclusion: double>>"
 
 _BASE = np.uint64(0x100000001B3)
 
 
-def _uniform(key: np.ndarray, round_: int, stream: int, offset: np.ndarray) -> np.ndarray:
-    """Uniform doubles in (0, 1) from a counter: the same for the same row, round, stream and byte offset."""
+def _bits(key: np.ndarray, round_: int, stream: int, offset: np.ndarray) -> np.ndarray:
+    """64 random bits from a counter: the same for the same row, round, stream and byte offset."""
     with np.errstate(over="ignore"):
         x = key + np.uint64((round_ * 8 + stream + 1) * 0x9E3779B97F4A7C15 % 2**64) + offset.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x = x ^ (x >> np.uint64(31))
-    return ((x >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+        return x ^ (x >> np.uint64(31))
+
+
+def _uniform(key: np.ndarray, round_: int, stream: int, offset: np.ndarray) -> np.ndarray:
+    """Uniform doubles in (0, 1) of those bits."""
+    return ((_bits(key, round_, stream, offset) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The base's powers 0 to n at least, and those of its inverse; kept, as every batch needs them."""
+    if len(_POWERS[0]) <= n:
+        with np.errstate(over="ignore"):
+            for k, base in enumerate((_BASE, np.uint64(pow(int(_BASE), -1, 2**64)))):
+                _POWERS[k] = np.cumprod(np.append(np.ones(1, np.uint64), np.full(n + n // 4, base)), dtype=np.uint64)
+    return _POWERS
 
 
 class Pieces:
@@ -107,12 +128,10 @@ class Pieces:
     def hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Prefix sums of bytes times powers of an odd base, wrapping, and the inverse powers: substring hashes by difference."""
         n = len(data)
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
+        power, back = _powers(n)
         with np.errstate(over="ignore"):
-            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]), dtype=np.uint64)
-            back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse)]), dtype=np.uint64)
             values = (np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            sums = np.concatenate([[np.uint64(0)], np.cumsum((values ^ (values >> np.uint64(29))) * power[:-1], dtype=np.uint64)])
+            sums = np.concatenate([[np.uint64(0)], np.cumsum((values ^ (values >> np.uint64(29))) * power[:n], dtype=np.uint64)])
         return sums, back
 
     @staticmethod
@@ -131,211 +150,359 @@ class Lattice:
     """The lattices of distinct words, each with a blank mark in front: a node for each byte, edges in the order of their nodes."""
 
     def __init__(self, pieces: Pieces, words: Iterable[str]):
-        data = "".join(BLANK + w for w in words).encode("utf-8", "replace")
+        data = "".join([BLANK + w for w in words]).encode("utf-8", "replace")
+        n = len(data)
         raw = np.frombuffer(data, np.uint8)
         b0, b1, b2 = BLANK.encode()
-        self.starts = np.flatnonzero((raw[:-2] == b0) & (raw[1:-1] == b1) & (raw[2:] == b2))  # words hold no blank mark
-        sizes = np.diff(np.append(self.starts, len(data)))
-        ends = np.repeat((self.starts + sizes).astype(np.int32), sizes)
-        at = np.arange(len(data), dtype=np.int32)
+        self.starts = np.flatnonzero((raw[:-2] == b0) & (raw[1:-1] == b1) & (raw[2:] == b2)).astype(np.int32)  # words hold no blank mark
+        self.sizes = np.diff(np.append(self.starts, np.int32(n)))
+        ends = np.repeat(self.starts + self.sizes, self.sizes)
+        at = np.arange(n, dtype=np.int32)
         left = ends - at
+        to, piece, ends_word, first = self._edges(pieces, data, raw, at, left, ends)
+        count = np.diff(first)
+        start = np.repeat(at, count)
+        onward = self._onward(pieces.weight[piece], start, np.where(ends_word, np.int32(n), to), left)
+        log_p = pieces.weight[piece] + np.where(ends_word, 0.0, onward[to]) - onward[start]
+        # The likeliest piece of a node stands first: most draws need no search.
+        own = np.flatnonzero(count)  # no edge starts within a character that is a piece
+        head, count = first[own], count[own]
+        lead = np.flatnonzero(log_p == np.repeat(np.maximum.reduceat(log_p, head), count)) if n else head
+        lead = lead[np.append(True, np.diff(start[lead]) > 0)] if n else lead
+        swap = np.arange(len(start), dtype=np.int32)
+        swap[head], swap[lead] = lead, head
+        log_p = log_p[swap]
+        self.to, self.piece, self.ends_word, self.start, self.first = to[swap], piece[swap], ends_word[swap], start, first
+        # Sums in whole units of 2 ** -31 and 2 ** -32: exact, so that a row's sample doesn't depend on its neighbours in the batch.
+        self.units = np.rint(log_p * 2.0**32).astype(np.int64)
+        p = np.exp(log_p)
+        parts = np.rint(p * 2.0**31).astype(np.int64)
+        sums = np.cumsum(parts)
+        before = (sums - parts)[head]
+        self.likeliest = np.zeros(n + 1, dtype=np.int64)
+        self.likeliest[own] = parts[head]
+        node = start.astype(np.int64) << 32
+        self.cum = node + np.minimum(sums - np.repeat(before, count), 2**31)
+        # What a node leaves over beside an edge: a sum of the others for its likeliest, for which 1 - p would lose them.
+        self.rest = 1.0 - p
+        if n:
+            last = head + count - 1
+            self.cum[last] = node[last] + 2**31
+            p[head] = 0.0
+            self.rest[head] = np.add.reduceat(p, head)
+
+    @classmethod
+    def of(cls, pieces: Pieces, words: Iterable[str], most: int = CHUNK_WORDS) -> Lattice:
+        """The lattice of any number of words, built from so many at a time, whose arrays a processor's cache holds."""
+        words = iter(words)
+        parts = [cls(pieces, list(itertools.islice(words, most)))]
+        while some := list(itertools.islice(words, most)):
+            parts.append(cls(pieces, some))
+        if len(parts) == 1:
+            return parts[0]
+        out = object.__new__(cls)
+        nodes = np.cumsum([0, *(len(x.first) - 1 for x in parts)])
+        edges = np.cumsum([0, *(len(x.to) for x in parts)])
+        for name, shifts in {"starts": nodes, "sizes": None, "to": nodes, "piece": None, "ends_word": None, "start": nodes, "units": None, "cum": nodes << 32, "rest": None}.items():
+            own = [getattr(x, name) for x in parts]
+            setattr(out, name, np.concatenate(own if shifts is None else [a + a.dtype.type(s) for a, s in zip(own, shifts, strict=False)]))
+        out.first = np.concatenate([x.first[:-1] + np.int32(s) for x, s in zip(parts, edges, strict=False)] + [edges[-1:].astype(np.int32)])
+        out.likeliest = np.concatenate([x.likeliest[:-1] for x in parts] + [np.zeros(1, np.int64)])
+        return out
+
+    @staticmethod
+    def _edges(pieces: Pieces, data: bytes, raw: np.ndarray, at: np.ndarray, left: np.ndarray, ends: np.ndarray):
+        """to, piece, ends_word of each edge in the order of nodes, and each node's first edge."""
+        n = len(data)
         h = pieces.hashes(data)
         lead = (raw & 0xC0) != 0x80
-        froms, tos, ids = [], [], []
-        alone = np.zeros(len(data) + 1, dtype=bool)  # a lead byte whose character is a piece
-        char_end = np.append(np.flatnonzero(lead), len(data))[np.cumsum(lead)] if len(data) else at
-        some = at[lead]
+        heads = np.flatnonzero(lead)
+        no = np.cumsum(lead)
+        char_end = np.append(heads, n)[no] if n else at
+        alone = np.zeros(n + 1, dtype=bool)  # a lead byte whose character is a piece
+        count, found, some = np.zeros(n, dtype=np.int32), [], at[lead]
         for length in pieces.lengths:
             some = some[left[some] >= length]
             if not len(some):
                 break
-            found, of = pieces.find(pieces.of(h, some, length))
-            hit = some[found]
-            froms.append(hit)
-            tos.append(hit + np.int32(length))
-            ids.append(of)
+            hit, of = pieces.find(pieces.of(h, some, length))
+            hit = some[hit]
+            found.append((hit, count[hit], length, of))
+            count[hit] += 1
             alone[hit[char_end[hit] == hit + length]] = True
-        head = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(data) else at
-        other = at[~alone[head]] if len(data) else at
-        froms.append(other)
-        tos.append(other + np.int32(1))
-        ids.append(pieces.byte_id[raw[other]])
-        start, to, piece = np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
-        weight = pieces.weight[piece]
-        order = np.argsort(start, kind="stable")
-        start, to, piece, weight = start[order], to[order], piece[order], weight[order]
-        # What follows a node, summed, from the ends of the words: nodes with as many bytes left at a time.
-        onward = np.zeros(len(data) + 1)
-        ends_word = to == ends[start]
+        other = at[~alone[heads[no - 1]]] if n else at
+        found.append((other, count[other], 1, pieces.byte_id[raw[other]]))
+        count[other] += 1
+        first = np.zeros(n + 1, dtype=np.int32)
+        np.cumsum(count, out=first[1:])
+        to, piece = np.empty(first[-1], np.int32), np.empty(first[-1], np.int32)
+        for hit, nth, length, of in found:
+            k = first[hit] + nth
+            to[k], piece[k] = hit + np.int32(length), of
+        return to, piece, to == np.repeat(ends, count), first
+
+    @staticmethod
+    def _onward(weight: np.ndarray, start: np.ndarray, after: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The log of what follows each node, summed, from the ends of the words: nodes with as many bytes left at a time."""
+        n = len(left)
+        onward = np.zeros(n + 1)
         e_left = left[start]
-        by_left = np.argsort(e_left.astype(np.uint16) if len(data) and left.max() < 2**16 else e_left, kind="stable")
-        cuts = np.flatnonzero(np.diff(e_left[by_left], prepend=-1)) if len(start) else np.zeros(0, dtype=np.int64)
-        nodes, weights, after = start[by_left], weight[by_left], np.where(ends_word, len(data), to)[by_left]  # nothing follows the last node
-        for a, b in zip(cuts, np.append(cuts[1:], len(by_left)), strict=True):
-            x = weights[a:b] + onward[after[a:b]]
-            node = nodes[a:b]
-            first = np.flatnonzero(np.diff(node, prepend=-1))
+        by_left = np.argsort(e_left.astype(np.uint16) if n and left.max() < 2**16 else e_left, kind="stable")
+        cuts = np.flatnonzero(np.diff(e_left[by_left], prepend=-1)) if n else np.zeros(0, dtype=np.int64)
+        nodes, after, weight = start[by_left], after[by_left], weight[by_left]
+        heads = np.flatnonzero(np.diff(nodes, prepend=-1))
+        head_cuts = np.searchsorted(heads, np.append(cuts, len(nodes)))
+        # Near the end of a word products don't underflow; further on logarithms are added.
+        plain = np.exp(weight[: cuts[PLAIN] if len(cuts) > PLAIN else len(weight)])
+        onward[n] = 1.0
+        for level, (a, b) in enumerate(zip(cuts, np.append(cuts[1:], len(by_left)), strict=True)):
+            first = heads[head_cuts[level] : head_cuts[level + 1]]
+            node, first = nodes[first], first - a
+            if level < PLAIN:
+                onward[node] = np.add.reduceat(plain[a:b] * onward[after[a:b]], first)
+                continue
+            if level == PLAIN:
+                with np.errstate(divide="ignore"):
+                    onward = np.log(onward)
+            x = weight[a:b] + onward[after[a:b]]
             top = np.maximum.reduceat(x, first)
-            total = np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(first, b - a)))), first)
-            onward[node[first]] = top + np.log(total)
-        log_p = weight + np.where(ends_word, 0.0, onward[to]) - onward[start]
-        first = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=len(data)))])
-        # The likeliest piece of a node stands first: most draws need no search.
-        if len(start):
-            at_node = first[:-1][first[1:] > first[:-1]]
-            top = np.repeat(np.maximum.reduceat(log_p, at_node), np.diff(np.append(at_node, len(start))))
-            lead_edge = np.flatnonzero(log_p == top)
-            lead_edge = lead_edge[np.append(True, np.diff(start[lead_edge]) > 0)]
-            swap = np.arange(len(start))
-            swap[at_node], swap[lead_edge] = lead_edge, at_node
-            to, piece, ends_word, log_p = to[swap], piece[swap], ends_word[swap], log_p[swap]
-        self.log_p, self.p = log_p, np.exp(log_p)
-        self.to, self.piece, self.ends_word, self.start, self.first = to, piece, ends_word, start, first
-        # Sums in whole units of 2 ** -31 and 2 ** -32: exact, so that a row's sample doesn't depend on its neighbours in the batch.
-        parts = np.rint(self.p * 2.0**31).astype(np.int64)
-        sums = np.concatenate([[0], np.cumsum(parts)])
-        self.cum = (start.astype(np.int64) << 32) + np.minimum(sums[1:] - sums[first[start]], 2**31)
-        self.units = np.rint(log_p * 2.0**32).astype(np.int64)
-        self.likeliest = np.append(parts, 0)[first[:-1]]
-        # What a node leaves over beside an edge: a sum of the others for its likeliest, for which 1 - p would lose them.
-        self.rest = 1.0 - self.p
-        if len(start):
-            self.cum[np.append(at_node[1:], len(start)) - 1] = (start[at_node].astype(np.int64) << 32) + 2**31
-            others = self.p.copy()
-            others[at_node] = 0.0
-            self.rest[at_node] = np.add.reduceat(others, at_node)
-
-    def walk(self, node: np.ndarray, key: np.ndarray, offset: np.ndarray, round_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Draws a path to the word's end from each node. owner, step offset and edge of every step, in no order."""
-        owner, out = np.arange(len(node)), []
+            onward[node] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(first, b - a)))), first))
+        return onward if len(cuts) > PLAIN else np.log(onward, where=onward > 0, out=np.zeros(n + 1))
+
+    def walk(self, node: np.ndarray, key: np.ndarray, offset: np.ndarray, round_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Draws a path to the word's end from each node. owner, offset, edge of every step, owner by owner, and a uniform number
+        for each: the halves of its bits draw the edge and give that."""
+        owner, out, count = np.arange(len(node), dtype=np.int32), [], np.zeros(len(node), dtype=np.int32)
         while len(owner):
-            u = (_uniform(key, round_, 0, offset) * 2.0**31).astype(np.int64)
+            bits = _bits(key, round_, 0, offset)
+            u = (bits >> np.uint64(33)).astype(np.int64)
             edge = self.first[node]
             other = np.flatnonzero(u >= self.likeliest[node])
             o = node[other]
             edge[other] = np.clip(np.searchsorted(self.cum, (o.astype(np.int64) << 32) + u[other], side="right"), edge[other], self.first[o + 1] - 1)
-            out.append((owner, offset, edge))
-            on = ~self.ends_word[edge]
-            owner, key = owner[on], key[on]
-            offset = offset[on] + self.to[edge[on]] - node[on]
-            node = self.to[edge[on]]
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+            out.append((owner, offset, edge, bits.astype(np.uint32)))
+            count[owner] += 1
+            on = np.flatnonzero(~self.ends_word[edge])
+            owner, key, to = owner[on], key[on], self.to[edge[on]]
+            offset = offset[on] + (to - node[on])
+            node = to
+        begin = np.cumsum(count) - count
+        steps, edges, low = (np.empty(int(count.sum()), t) for t in (np.int64, np.int32, np.uint32))
+        for nth, (who, offset, edge, bits) in enumerate(out):
+            k = begin[who] + nth
+            steps[k], edges[k], low[k] = offset, edge, bits
+        return np.repeat(np.arange(len(count), dtype=np.int32), count), steps, edges, (low + 0.5) / 2.0**32
+
+    def opened(self, node: np.ndarray, used: list[np.ndarray], u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An edge of each node other than the used ones (arrays of an edge, or -1, for each node), drawn by u in proportion to
+        what follows; and what is left of the node's mass without all of them."""
+        count = self.first[node + 1] - self.first[node]
+        cut = np.cumsum(count) - count
+        of = np.repeat(np.arange(len(node)), count)
+        edge = self.first[node][of] + (np.arange(len(of)) - cut[of])
+        p = np.exp(self.units[edge] / 2.0**32)
+        for e in used:
+            p[edge == e[of]] = 0.0
+        # Whole parts of the largest: their running sums are exact, and none that is left is nothing.
+        parts = np.where(p > 0, np.maximum(np.rint(p / np.maximum.reduceat(p, cut)[of] * 2.0**31), 1.0), 0.0).astype(np.int64)
+        sums = np.cumsum(parts)
+        before = (sums - parts)[cut]
+        total = sums[cut + count - 1] - before
+        chosen = np.searchsorted(sums, before + np.minimum((u * total).astype(np.int64), total - 1), side="right")
+        p[chosen] = 0.0
+        return edge[chosen], np.add.reduceat(p, cut)
+
+
+def _race(prior: np.ndarray, rest: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The perturbed maximum, not yet truncated, of what a node leaves over: a Gumbel at prior + log(rest); -inf for nothing."""
+    with np.errstate(divide="ignore"):
+        return prior + np.log(np.maximum(rest, 0.0)) - np.log(-np.log(u))
+
+
+def _truncated(value: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """A Gumbel truncated at bound, from the untruncated one that the same random number gives."""
+    return -np.logaddexp(-bound, -value)
 
 
 class Walks:
     """The steps that one round has drawn, in the order of documents and offsets, with the sets they leave over."""
 
-    def __init__(self, lattice: Lattice, doc: np.ndarray, offset: np.ndarray, edge: np.ndarray, before: np.ndarray, bound: np.ndarray, key: np.ndarray, round_: int, n_docs: int, place: np.ndarray):
-        """before, bound, place by document: log-probability up to the first step, perturbed value, steps before the first."""
-        order = np.argsort((doc.astype(np.int64) << 40) | offset, kind="stable")
-        self.doc, self.offset, self.edge = doc[order], offset[order], edge[order]
-        self.cut = np.searchsorted(self.doc, np.arange(n_docs + 1))
-        sums = np.concatenate([[0], np.cumsum(lattice.units[self.edge])])
-        self.prior = before[self.doc] + (sums[:-1] - sums[self.cut[self.doc]]) / 2.0**32
-        self.end = before + (sums[self.cut[1:]] - sums[self.cut[:-1]]) / 2.0**32
-        self.place = place[self.doc] + np.arange(len(self.doc)) - self.cut[self.doc]
-        self.value = _left_over(self.prior, lattice.rest[self.edge], bound[self.doc], _uniform(key[self.doc], round_, 1, self.offset))
+    def __init__(self, lattice: Lattice, word: np.ndarray, doc: np.ndarray, offset: np.ndarray, edge: np.ndarray, u: np.ndarray, before: np.ndarray):
+        """before by document: log-probability up to the first step, in units of 2 ** -32."""
+        self.word, self.doc, self.offset, self.edge = word, doc, offset, edge
+        self.cut = np.searchsorted(doc, np.arange(len(before) + 1))
+        sums = np.concatenate([[0], np.cumsum(lattice.units[edge])])
+        self.prior = before[doc] + sums[:-1] - sums[self.cut][doc]
+        self.end = before + sums[self.cut[1:]] - sums[self.cut[:-1]]
+        self.value = _race(self.prior / 2.0**32, lattice.rest[edge], u)
 
+    def best(self) -> tuple[np.ndarray, np.ndarray]:
+        """By document the largest value and its step."""
+        has = np.flatnonzero(self.cut[1:] > self.cut[:-1])
+        top, at = np.full(len(self.cut) - 1, -np.inf), np.zeros(len(self.cut) - 1, dtype=np.int64)
+        if len(has):
+            top[has] = np.maximum.reduceat(self.value, self.cut[:-1][has])
+            hit = np.flatnonzero(self.value == np.repeat(top, np.diff(self.cut)))
+            d, first = np.unique(self.doc[hit], return_index=True)
+            at[d] = hit[first]
+        return top, at
 
-def _left_over(prior, rest, bound, u):
-    """The perturbed maximum of what a node leaves over, a share rest of it: a Gumbel at its log-probability, truncated at bound."""
-    some = rest > 0
-    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        location = prior + np.log(np.where(some, rest, 1.0))
-        value = location - np.log(np.exp(np.minimum(location - bound, 700.0)) - np.log(u))
-    return np.where(some, value, -np.inf)
+
+def _inclusion(log_p: float, kept: float) -> float:
+    return 1.0 if not np.isfinite(kept) else float(-np.expm1(-np.exp(min(log_p - kept, 700.0))))
 
 
 def sample_batch(pieces: Pieces, texts: list[str | None], keys: np.ndarray, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float]] | None]:
     """For each text its samples: ids, log-probability and inclusion score, the largest perturbed value first."""
     known: dict[str, int] = defaultdict(itertools.count().__next__)  # numbers words as they come
-    words, of_doc = [], []
+    words, per_doc = [], np.zeros(len(texts), dtype=np.int64)
     for d, t in enumerate(texts):
         if t:
             parts = t.replace(BLANK, " ").split(" ")
             words.extend(map(known.__getitem__, parts))
-            of_doc.append(np.full(len(parts), d))
-    n = len(texts)
-    lattice = Lattice(pieces, known)
-    word = np.array(words, dtype=np.int64)
-    doc = np.concatenate(of_doc) if of_doc else np.zeros(0, dtype=np.int64)
-    size = np.diff(np.append(lattice.starts, len(lattice.first) - 1))[word] if len(known) else np.zeros(0, dtype=np.int64)
-    sums = np.concatenate([[0], np.cumsum(size)])
-    word_cut = np.searchsorted(doc, np.arange(n + 1))
-    offset = sums[:-1] - sums[word_cut[doc]]
-    node = lattice.starts[word] if len(known) else word
-    full = np.array([bool(t) for t in texts])
-    zero = np.zeros(n)
-    bound = -np.log(-np.log(_uniform(keys, 0, 3, np.zeros(n, dtype=np.int64))))
-    owner, step, edge = lattice.walk(node, keys[doc], offset, 0)
-    rounds = [Walks(lattice, doc[owner], step, edge, zero, bound, keys, 0, n, np.zeros(n, dtype=np.int64))]
-    paths: list[list[np.ndarray]] = [[lattice.piece[rounds[0].edge[a:b]]] for a, b in zip(rounds[0].cut[:-1], rounds[0].cut[1:], strict=True)]
-    log_p = [[float(x)] for x in rounds[0].end]
-    source = [[(0, 0)] for _ in range(n)]  # which path each round of a document has branched from
-    taken: dict[tuple[int, int], list[int]] = {}
+            per_doc[d] = len(parts)
+    lattice = Lattice.of(pieces, known)
+    del known
+    word = np.array(words, dtype=np.int32)
+    del words
+    word_cut = np.concatenate([[0], np.cumsum(per_doc)])
+    found = []
+    for a, b in _cuts(texts, WALK_BYTES):  # few at a time, so that arrays stay small
+        found += _samples(lattice, word[word_cut[a] : word_cut[b]], per_doc[a:b], keys[a:b], k)
+    return [None if t is None else x if t else [(np.zeros(0, dtype=np.int32), 0.0, 1.0)] for t, x in zip(texts, found, strict=True)]
+
+
+def _samples(lattice: Lattice, word: np.ndarray, per_doc: np.ndarray, keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+    """The samples of documents that are chains of word, per_doc of them each."""
+    n = len(per_doc)
+    doc = np.repeat(np.arange(n, dtype=np.int32), per_doc)
+    word_cut = np.concatenate([[0], np.cumsum(per_doc)])
+    sums = np.concatenate([[0], np.cumsum(lattice.sizes[word], dtype=np.int64)])
+    offset = sums[:-1] - sums[word_cut][doc]
+    node, zero = lattice.starts[word], np.zeros(n, dtype=np.int64)
+    bounds = [-np.log(-np.log(_uniform(keys, 0, 3, zero)))]
+    owner, step, edge, u = lattice.walk(node, keys[doc], offset, 0)
+    rounds = [Walks(lattice, owner, doc[owner], step, edge, u, zero)]
+    paths = [[lattice.piece[edge[a:b]]] for a, b in zip(rounds[0].cut[:-1].tolist(), rounds[0].cut[1:].tolist(), strict=True)]
+    log_p, places = [rounds[0].end], [zero]
+    used: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # round, step and edge of every opening
+    again: list[np.ndarray] = []  # what each opening left over
     kept = np.full(n, -np.inf)
     for r in range(1, k + 1):
         best, at_round, at = np.full(n, -np.inf), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         for j, w in enumerate(rounds):
-            if not len(w.doc):
-                continue
-            has = w.cut[1:] > w.cut[:-1]
-            top = np.full(n, -np.inf)
-            top[has] = np.maximum.reduceat(w.value, w.cut[:-1][has])
+            top, i = w.best()
+            top = _truncated(top, bounds[j])
             better = top > best
-            if better.any():
-                is_top = np.flatnonzero((w.value == top[w.doc]) & better[w.doc])
-                d, first = np.unique(w.doc[is_top], return_index=True)
-                best[d], at_round[d], at[d] = top[d], j, is_top[first]
+            best, at_round, at = np.where(better, top, best), np.where(better, j, at_round), np.where(better, i, at)
+        for (j, i, _), top in zip(used, again, strict=True):
+            better = top > best
+            best, at_round, at = np.where(better, top, best), np.where(better, j, at_round), np.where(better, i, at)
         kept = best
-        if r == k:
-            break
         todo = np.flatnonzero(np.isfinite(best))
-        if not len(todo):
+        if r == k or not len(todo):
             break
-        new_edge, rest_doc, rest_node, rest_offset = np.zeros(n, dtype=np.int64), [], [], []
-        prior, place = np.zeros(n), np.zeros(n, dtype=np.int64)
-        u = _uniform(keys, r, 2, np.zeros(n, dtype=np.int64))
-        left, left_prior = np.zeros(n), np.zeros(n)
-        for d in todo:
+        # The opened nodes: their steps leave the race, as does what earlier openings of them left over.
+        shape = [np.zeros(n, dtype=np.int64) for _ in range(4)]
+        taken, prior, at_offset, at_word = shape
+        for j, w in enumerate(rounds):
+            d = todo[at_round[todo] == j]
+            i = at[d]
+            taken[d], prior[d], at_offset[d], at_word[d] = w.edge[i], w.prior[i], w.offset[i], w.word[i]
+            w.value[i] = -np.inf
+        same = [(j == at_round) & (i == at) for j, i, _ in used]
+        for left_over, x in zip(again, same, strict=True):
+            left_over[todo] = np.where(x[todo], -np.inf, left_over[todo])
+        v = lattice.start[taken[todo]]
+        others = [np.where(x[todo], e[todo], -1) for x, (_, _, e) in zip(same, used, strict=True)]
+        new, rest = lattice.opened(v, [taken[todo], *others], _uniform(keys, r, 2, zero)[todo])
+        left_over = np.full(n, -np.inf)
+        left_over[todo] = _truncated(_race(prior[todo] / 2.0**32, rest, _uniform(keys, r, 4, zero)[todo]), best[todo])
+        chosen = np.full(n, -1, dtype=np.int64)
+        chosen[todo] = new
+        used.append((np.where(np.isfinite(best), at_round, -1), at, chosen))
+        again.append(left_over)
+        # From the new piece on, paths are drawn to the documents' ends: the rest of its word, if any, and the words after it.
+        inside = ~lattice.ends_word[new]
+        begin = at_word[todo] + ~inside
+        count = word_cut[todo + 1] - begin
+        cut = np.cumsum(count) - count
+        on = np.repeat(begin - cut, count) + np.arange(int(count.sum()))
+        nodes, offsets = node[on], offset[on]
+        nodes[cut[inside]] = lattice.to[new[inside]]
+        offsets[cut[inside]] = (at_offset[todo] + lattice.to[new] - v)[inside]
+        before = zero.copy()
+        before[todo] = prior[todo] + lattice.units[new]
+        owner, step, edge, u = lattice.walk(nodes, keys[doc[on]], offsets, r)
+        walks = Walks(lattice, on[owner], doc[on[owner]], step, edge, u, before)
+        cuts, place = walks.cut.tolist(), zero.copy()
+        for d, e in zip(todo.tolist(), new.tolist(), strict=True):
             j, i = int(at_round[d]), int(at[d])
-            w = rounds[j]
-            out = taken.setdefault((j, i), [int(w.edge[i])])
-            v = int(lattice.start[w.edge[i]])
-            edges = [e for e in range(lattice.first[v], lattice.first[v + 1]) if e not in out]
-            mass = np.cumsum(lattice.p[edges])
-            e = edges[min(int(np.searchsorted(mass, u[d] * mass[-1], side="right")), len(edges) - 1)]
-            out.append(e)
-            new_edge[d], prior[d], place[d] = e, w.prior[i] + lattice.units[e] / 2.0**32, w.place[i] + 1
-            left[d], left_prior[d] = sum(lattice.p[x] for x in edges if x != e), w.prior[i]
-            after = w.offset[i] + lattice.to[e] - v
-            words_after = word_cut[d] + int(np.searchsorted(offset[word_cut[d] : word_cut[d + 1]], after, side="left" if lattice.ends_word[e] else "right"))
-            if not lattice.ends_word[e]:
-                rest_doc.append([d])
-                rest_node.append([lattice.to[e]])
-                rest_offset.append([after])
-            rest_doc.append(np.full(word_cut[d + 1] - words_after, d))
-            rest_node.append(node[words_after : word_cut[d + 1]])
-            rest_offset.append(offset[words_after : word_cut[d + 1]])
-        # The rest of the opened nodes stays in the queue, below what has just been found.
-        below = _left_over(left_prior[todo], left[todo], best[todo], _uniform(keys, r, 4, np.zeros(n, dtype=np.int64))[todo])
-        for d, x in zip(todo, below, strict=True):
-            rounds[at_round[d]].value[at[d]] = x
-        r_doc, r_node, r_offset = (np.concatenate(x).astype(np.int64) for x in (rest_doc, rest_node, rest_offset))
-        owner, step, edge = lattice.walk(r_node, keys[r_doc], r_offset, r)
-        walks = Walks(lattice, r_doc[owner], step, edge, prior, best, keys, r, n, place)
+            place[d] = places[j][d] + i - rounds[j].cut[d] + 1
+            parent = paths[d][j]  # each round of a document has added a path, up to its last
+            paths[d].append(np.concatenate([parent[: place[d] - 1], lattice.piece[e : e + 1], lattice.piece[edge[cuts[d] : cuts[d + 1]]]]))
         rounds.append(walks)
-        for d in todo:
-            j, i = int(at_round[d]), int(at[d])
-            parent = next(p for p, (rr, _) in enumerate(source[d]) if rr == j)
-            paths[d].append(np.concatenate([paths[d][parent][: rounds[j].place[i]], lattice.piece[new_edge[d] : new_edge[d] + 1], lattice.piece[walks.edge[walks.cut[d] : walks.cut[d + 1]]]]))
-            log_p[d].append(float(walks.end[d]))
-            source[d].append((r, parent))
-    score = lambda p, t: 1.0 if not np.isfinite(t) else float(-np.expm1(-np.exp(min(p - t, 700.0))))
-    return [
-        None if t is None else [(ids, p, score(p, kept[d])) for ids, p in zip(paths[d], log_p[d], strict=True)] if full[d] else [(np.zeros(0, dtype=np.int32), 0.0, 1.0)]
-        for d, t in enumerate(texts)
-    ]
+        bounds.append(best)
+        log_p.append(walks.end)
+        places.append(place)
+    return [[(ids, float(log_p[j][d] / 2.0**32), _inclusion(log_p[j][d] / 2.0**32, kept[d])) for j, ids in enumerate(paths[d])] for d in range(n)]
+
+
+def sample_long(pieces: Pieces, text: str, key: np.ndarray, k: int = SAMPLES, most: int = BATCH_BYTES) -> list[tuple[np.ndarray, float, float]]:
+    """The samples that sample_batch gives for the text and the key (an array of one), from lattices of at most so many bytes of words
+    at a time: a round goes through the text and carries sums and the k best of what its steps leave over."""
+    words = text.replace(BLANK, " ").split(" ")
+    sizes = np.fromiter((len(w.encode("utf-8", "replace")) for w in words), dtype=np.int64, count=len(words)) + len(BLANK.encode())
+    begins = np.cumsum(sizes) - sizes
+    one = np.zeros(1, dtype=np.int64)
+
+    def drawn(round_: int, first: int, inside: int, before: int):
+        """ids, log-probability and the best sets left over of a path from byte inside of word first on."""
+        ids, best, steps_before = [], [], 0
+        while first < len(words):
+            last = max(first + 1, int(np.searchsorted(begins, begins[first] + most, side="right")) - 1) if begins[-1] > begins[first] + most else len(words)
+            number: dict[str, int] = defaultdict(itertools.count().__next__)
+            word = np.fromiter(map(number.__getitem__, words[first:last]), dtype=np.int32, count=last - first)
+            lattice = Lattice.of(pieces, number)
+            node, offset = lattice.starts[word], begins[first:last].copy()
+            node[0], offset[0] = node[0] + inside, offset[0] + inside
+            owner, step, edge, u = lattice.walk(node, np.repeat(key, len(node)), offset, round_)
+            sums = np.cumsum(lattice.units[edge])
+            prior = before + sums - lattice.units[edge]
+            value = _race(prior / 2.0**32, lattice.rest[edge], u)
+            for i in np.argsort(-value, kind="stable")[:k].tolist():
+                best.append((float(value[i]), int(step[i]), first + int(owner[i]), int(prior[i]), steps_before + i, int(lattice.to[edge[i]] - lattice.start[edge[i]])))
+            ids.append(lattice.piece[edge])
+            before, steps_before = before + int(sums[-1]), steps_before + len(edge)
+            first, inside = last, 0
+        best = sorted(best, key=lambda b: -b[0])[:k]
+        return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), before, best
+
+    ids, end, best = drawn(0, 0, 0, 0)
+    bound = -np.log(-np.log(_uniform(key, 0, 3, one)))
+    # value, round, offset, word, prior, place, lengths of the pieces already taken there
+    queue = [(float(_truncated(np.array([b[0]]), bound)[0]), 0, *b[1:5], (b[5],)) for b in best]
+    found, places, kept = [(ids, end)], [0], -np.inf
+    for r in range(1, k + 1):
+        queue = sorted((q for q in queue if np.isfinite(q[0])), key=lambda q: -q[0])
+        kept = queue[0][0] if queue else -np.inf
+        if r == k or not queue:
+            break
+        value, j, offset, at, prior, place, lengths = queue.pop(0)
+        lattice, v = Lattice(pieces, [words[at]]), np.array([offset - begins[at]])
+        edges = np.arange(lattice.first[v[0]], lattice.first[v[0] + 1])
+        taken = [edges[lattice.to[edges] - v[0] == n] for n in lengths]
+        (new,), rest = lattice.opened(v, taken, _uniform(key, r, 2, one))
+        length = int(lattice.to[new] - v[0])
+        left = _truncated(_race(np.array([prior / 2.0**32]), rest, _uniform(key, r, 4, one)), np.array([value]))[0]
+        queue.append((float(left), j, offset, at, prior, place, (*lengths, length)))
+        inside = 0 if lattice.ends_word[new] else int(lattice.to[new])
+        ids, end, best = drawn(r, at + (inside == 0), inside, prior + int(lattice.units[new]))
+        kept_steps = places[j] + place
+        found.append((np.concatenate([found[j][0][:kept_steps], lattice.piece[new : new + 1], ids]), end))
+        places.append(kept_steps + 1)
+        queue += [(float(_truncated(np.array([b[0]]), np.array([value]))[0]), r, *b[1:5], (b[5],)) for b in best]
+    return [(ids, end / 2.0**32, _inclusion(end / 2.0**32, kept)) for ids, end in found]
 
 
 _KEPT: dict[tuple[str, float], Pieces] = {}
@@ -375,10 +542,11 @@ def sample_segmentations(docs: DataFrame, path: str | None = None, k: int = SAMP
     def sample(batches):
         vocabulary = pieces(path, alpha)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             keys = np.asarray(batch.column(2)).astype(np.int64).view(np.uint64)
-            for a, b in _cuts(texts):
-                found = sample_batch(vocabulary, texts[a:b], keys[a:b], k)
+            for a, b in text_slices(batch.column(1), BATCH_BYTES):
+                texts = batch.column(1)[a:b].to_pylist()
+                long = b == a + 1 and len(texts[0] or "") > BATCH_BYTES
+                found = [sample_long(vocabulary, texts[0], keys[a:b], k)] if long else sample_batch(vocabulary, texts, keys[a:b], k)
                 each = [s for x in found if x is not None for s in x]
                 ends = np.concatenate([[0], np.cumsum([len(i) for i, _, _ in each])]).astype(np.int32)
                 flat = np.concatenate([i for i, _, _ in each]).astype(np.int32) if each else np.zeros(0, np.int32)
@@ -387,6 +555,7 @@ def sample_segmentations(docs: DataFrame, path: str | None = None, k: int = SAMP
                 bounds = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in found])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array([None if i < len(found) and found[i] is None else int(v) for i, v in enumerate(bounds)], pa.int32()), structs)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], names=["doc_id", "samples"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("key"))
     return rows.mapInArrow(sample, SCHEMA)

@@ -185,3 +185,22 @@ def test_search_against_brute_force(spark):
             best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in usable if i != q and len(w) == len(v))[:5]
             assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert exact_search.top_k(whole.where("false"), whole.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("most", [40, 700])
+def test_a_long_text_in_parts_has_the_same_samples(small, pieces, most):
+    texts = [r["text"] for r in small.where("length(text) > 200").limit(25).collect()] + ["a", "x" * 900, "one  two ▁ three"]
+    keys = np.arange(len(texts)).astype(np.uint64) * np.uint64(977)
+    for k in (1, 5):
+        for i, whole in enumerate(piece_sampling.sample_batch(pieces, texts, keys, k)):
+            parts = piece_sampling.sample_long(pieces, texts[i], keys[i : i + 1], k, most)
+            assert [(a.tolist(), p) for a, p, _ in parts] == [(a.tolist(), p) for a, p, _ in whole]
+            assert [q for *_, q in parts] == pytest.approx([q for *_, q in whole])
+
+
+def test_a_text_longer_than_a_batch(spark, pieces):
+    text = " ".join(f"w{i * 7919 % 100_003}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    got = {r["doc_id"]: r["samples"] for r in piece_sampling.sample_segmentations(docs).collect()}
+    assert len(text) > piece_sampling.BATCH_BYTES and len(got[1]) == len(got[2]) == piece_sampling.SAMPLES
+    assert all(pieces.decode(s["ids"]) == text for s in got[1])
