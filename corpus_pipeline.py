@@ -7,7 +7,6 @@ of documents; the last returns the sampled segmentations.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestone.llm import line_dedup, mixing, ngram_join, piece_sampling, toxicity
 from lodestone.llm.common import stored, table
@@ -21,7 +20,7 @@ LONG_WORDS = 40
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score toxic. The score is a function of a row's own text, so no shuffle is needed."""
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    return docs.where(toxicity.scorer(model)(F.col("text")) < toxicity.CUT)
+    return toxicity.without_toxic(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
