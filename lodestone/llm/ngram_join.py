@@ -243,10 +243,13 @@ def grouped(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) ->
     classes = stored(classes)
     made = stored(class_components(docs, rows, classes, size, threshold))
     least = classes.select("cls", "id").join(made, "cls").groupBy("component").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    of_class = classes.select("cls", "id").join(joined_by_key(made, least, "component"), "cls", "left")
-    of_class = of_class.select("cls", F.coalesce(F.col("component").cast("string").cast("binary"), "cls").alias("linked"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
-    found = rows.drop("prefix").join(of_class, "cls", "left")
-    return found.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    of_class = classes.select("cls", "id", "copies").join(joined_by_key(made, least, "component"), "cls", "left")
+    linked = F.coalesce(F.col("component").cast("string").cast("binary"), "cls").alias("linked")
+    of_class = of_class.select("cls", F.col("copies").alias("n"), linked, F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    # A class may have a third of all rows as copies: such classes are broadcast, their rows stay where they are.
+    plain = rows.drop("prefix")
+    full = joined_by_key(plain.where("n > 0"), of_class, "cls")
+    return full.unionByName(plain.where("n = 0").withColumns({"linked": F.lit(None).cast("binary"), "component_id": F.col("doc_id")}))
 
 
 def ngram_join(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
