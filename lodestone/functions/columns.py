@@ -92,6 +92,12 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     return F.when(either == 0, F.lit(0.0)).otherwise(both / either)
 
 
+def cwe_ids(metadata: Column | str, tags: Column | str) -> Column:
+    """The distinct CWE ids of a JSON object's field cwe, a string or a list, and of those tags that begin with CWE-; sorted."""
+    named = F.coalesce(F.regexp_extract_all(F.get_json_object(metadata, "$.cwe"), F.lit("CWE-[0-9]+"), F.lit(0)), F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.concat(named, F.filter(tags, lambda t: t.rlike("^CWE-[0-9]+$")))))
+
+
 #: The order of risks and severities.
 RISKS = ("info", "low", "medium", "high", "critical")
 

@@ -24,6 +24,31 @@ def _embed_one(text: str | None, dim: int) -> np.ndarray:
     return out / n if n else out
 
 
+def _md5_embed_one(text: str | None, dim: int) -> np.ndarray:
+    """Words split at blanks, and pairs of neighbours at half weight, by MD5 as one large number: its remainder is the place,
+    an odd quotient makes the sign negative; unit length."""
+    words = (text or "").lower().split()
+    weighted = [(w, 1.0) for w in words] + [(" ".join(p), 0.5) for p in zip(words, words[1:], strict=False)]
+    out = np.zeros(dim)
+    for feature, weight in weighted:
+        quotient, place = divmod(int.from_bytes(hashlib.md5(feature.encode()).digest(), "big"), dim)
+        out[place] += -weight if quotient & 1 else weight
+    n = np.linalg.norm(out)
+    return out / n if n else out
+
+
+def md5_embedding(dim: int):
+    """A column function: the embedding of a text by MD5 of its words, or a zero vector."""
+    if dim <= 0:
+        raise ValueError("dim must be positive")
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        return pd.Series([_md5_embed_one(t, dim) for t in texts])
+
+    return embed
+
+
 def hash_embedding(dim: int):
     """A column function: the embedding of a text, or a zero vector."""
     if dim <= 0:

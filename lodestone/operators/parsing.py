@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -180,3 +181,14 @@ def split_oversized(files: DataFrame, max_tokens: int, name: str = "context") ->
             yield pd.DataFrame(out, columns=["file_id", "part", "start_line", "end_line", "chunk"])
 
     return files.select("file_id", "content").mapInPandas(split, "file_id long, part int, start_line int, end_line int, chunk string")
+
+
+def calls_of(files: DataFrame) -> DataFrame:
+    """file_id, callee: each name, dotted or not, that stands before a parenthesis."""
+    return files.select("file_id", F.explode(F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_.]*)\("), F.lit(1))).alias("callee"))
+
+
+def parse_by_extension(files: DataFrame, registry: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The rows that the registered parsers give for files(path, ...); a file of an unregistered extension gives none."""
+    extension = F.lower(F.substring_index("path", ".", -1))
+    return reduce(DataFrame.unionByName, [parse(files.where(extension == e)) for e, parse in registry.items()])

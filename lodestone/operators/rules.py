@@ -139,3 +139,12 @@ def sort_findings(findings: DataFrame, least: float, severity: str = "severity")
     """At least of that confidence, with their place by severity, then confidence, then id."""
     kept = findings.where(F.col("confidence") >= least)
     return kept.orderBy(C.risk_rank(severity).desc(), F.desc("confidence"), "id")
+
+
+def match_calls(calls: DataFrame, patterns: Sequence[tuple], language: str | None = None, categories: Sequence[str] | None = None, min_severity: str = "info") -> DataFrame:
+    """calls(callee, ...) with pattern_id, category, severity of each of patterns(id, category, severity, languages, callees) that
+    names the callee or its last part. No languages: all. The patterns are literals of the caller, so their table is broadcast."""
+    asked = [p for p in patterns if (language is None or not p[3] or language in p[3]) and (categories is None or p[1] in categories) and C.RISKS.index(p[2]) >= C.RISKS.index(min_severity)]
+    names = calls.sparkSession.createDataFrame([(n, *p[:3]) for p in asked for n in dict.fromkeys(p[4])], "name string, pattern_id string, category string, severity string")
+    named = calls.withColumn("name", F.explode(F.array_distinct(F.array("callee", F.substring_index("callee", ".", -1)))))
+    return named.join(F.broadcast(names), "name").drop("name").distinct()

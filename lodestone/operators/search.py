@@ -10,24 +10,21 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
-def cosine_rounded(a: str, b: str, digits: int = 6) -> Column:
-    return F.round(C.cosine(a, b), digits)
-
-
 def vector_top_k(store: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
-    """query_id, vec_id, score, rank: the k nearest of each query by cosine. queries(query_id, q) is a stated, small set:
-    its size is checked by Spark, which broadcasts it or else joins by blocks."""
-    blocks = 32
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = store.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    scored = dealt.join(asked, "block").where(F.col("vec_id") != F.col("query_id")).withColumn("score", cosine_rounded("embedding", "q"))
+    """query_id, vec_id, score, rank and other columns of both: the k nearest of each query by cosine. queries(query_id, q) is a
+    stated set. The store is dealt into as many blocks as a shuffle has partitions, and each block meets every query once."""
+    blocks = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.withColumn("q_norm", C.norm("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = store.withColumn("e_norm", C.norm("embedding")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    cosine = F.round(C.dot("embedding", "q") / (F.col("e_norm") * F.col("q_norm") + F.lit(1e-10)), 6)
+    scored = dealt.join(asked, "block").where(F.col("vec_id") != F.col("query_id")).withColumn("score", cosine).drop("embedding", "q", "e_norm", "q_norm")
     if least is not None:
         scored = scored.where(F.col("score") >= least)
     # The k best of each block first, so that what is ranked for a query is k rows a block.
     within = Window.partitionBy("query_id", "block").orderBy(F.desc("score"), "vec_id")
     near = scored.withColumn("r", F.row_number().over(within)).where(F.col("r") <= k)
     over = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k).drop("r", "block", "q")
+    return near.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k).drop("r", "block")
 
 
 def keyword_scores(units: DataFrame, keywords: Sequence[str]) -> DataFrame:
@@ -64,12 +61,20 @@ def smart_cutoff(ranked: DataFrame, key: str, floor: float = 0.3, ratio: float =
     return kept.drop("place", "top", "ok", "so_far")
 
 
-def rerank(rows: DataFrame, weights: Sequence[float], boost: float, boost_from: float, key: str) -> DataFrame:
-    """Weighted vector, keyword, security and context scores, boosted where security is above boost_from."""
+def rerank(rows: DataFrame, weights: Sequence[float], boost: float, boost_from: float, key: str, limit: int) -> DataFrame:
+    """The limit best by weighted vector, keyword, security and context scores, boosted where security is above boost_from."""
     v, k, s, c = weights
     score = F.lit(v) * F.col("vector") + F.lit(k) * F.col("keyword") + F.lit(s) * F.col("security") + F.lit(c) * F.col("context")
     scored = rows.withColumn("score", F.round(F.when(F.col("security") > boost_from, score * boost).otherwise(score), 6))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+    return top(scored, limit, key).withColumn("rank", F.col("rank") + 1)
+
+
+def blended_rerank(local: DataFrame, remote: Column, key: str, limit: int, weights: tuple[float, float] = (0.3, 0.7)) -> DataFrame:
+    """key, score, rank of the limit best of a local ranking, cut to twice the limit, whose scores are blended with a second model's;
+    where that gave none the local score stands."""
+    first = top(local, 2 * limit, key)
+    blend = F.coalesce(F.lit(weights[0]) * F.col("score") + F.lit(weights[1]) * remote, F.col("score"))
+    return top(first.withColumn("score", F.round(blend, 6)), limit, key).withColumn("rank", F.col("rank") + 1).select(key, "score", "rank")
 
 
 def best_by_location(rows: DataFrame, location: Sequence[str], score: str, seq: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,6 +142,37 @@ def unit_chunks(units: DataFrame, max_tokens: int = 2000) -> DataFrame:
     )
 
 
+def packed_spans(counts: Sequence[int], most: int, overlap: int) -> list[tuple[int, int]]:
+    """Spans of lines that hold most tokens together; each starts with the last lines of the one before, overlap tokens at most."""
+    spans, start, held = [], 0, 0
+    for at, n in enumerate(counts):
+        if held + n > most and at > start:
+            spans.append((start, at))
+            first, start, held = start, at, 0
+            while start > first and held + counts[start - 1] <= overlap:
+                start -= 1
+                held += counts[start]
+        held += n
+    return [*spans, (start, len(counts))]
+
+
+def overlapping_chunks(files: DataFrame, max_tokens: int, overlap_tokens: int = 100) -> DataFrame:
+    """The files' other columns with chunk_index, start_line, end_line, chunk of content; texts within max_tokens are one chunk, nulls none."""
+
+    @F.pandas_udf("array<struct<a: int, b: int>>")
+    def spans(counts: pd.Series) -> pd.Series:
+        return pd.Series([[{"a": a, "b": b} for a, b in packed_spans([int(x) for x in c], max_tokens, overlap_tokens)] for c in counts])
+
+    ls = C.lines("content")
+    rows = files.where(F.col("content").isNotNull()).withColumn("spans", spans(F.transform(ls, C.tokens_cjk)))
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.size(ls).alias("b")))
+    rows = rows.withColumn("spans", F.when(C.tokens_cjk("content") <= max_tokens, whole).otherwise(F.col("spans")))
+    # Chunks are cut out before they become rows, so that no row carries the whole text.
+    cut = F.transform("spans", lambda x: F.struct((x["a"] + 1).cast("long").alias("start_line"), x["b"].cast("long").alias("end_line"), F.array_join(F.slice(ls, x["a"] + 1, x["b"] - x["a"]), "\n").alias("chunk")))
+    others = [c for c in files.columns if c != "content"]
+    return rows.select(*others, cut.alias("chunks")).select(*others, F.posexplode("chunks").alias("chunk_index", "c")).select(*others, "chunk_index", "c.*")
+
+
 def line_and_column(text: str, offset: int) -> tuple[Column, Column]:
     """Line (from 1) and column (from 0) of a character offset."""
     parts = C.lines(F.substring(text, 1, offset))

@@ -220,10 +220,10 @@ def p39(spark, sf):
 
 
 @query("j18_token_jaccard", """
-with t as (select doc_id, list_distinct([x for x in string_split(lower(text[1:400]), ' ') if x <> '']) as ws, lag(list_distinct([x for x in string_split(lower(text[1:400]), ' ') if x <> ''])) over (order by doc_id) as ps from documents)
+with t as (select doc_id, list_distinct([x for x in string_split(lower(text), ' ') if x <> '']) as ws, lag(list_distinct([x for x in string_split(lower(text), ' ') if x <> ''])) over (order by doc_id) as ps from documents)
 select doc_id, round(case when len(list_distinct(ws || ps)) = 0 then 0.0 else len(list_intersect(ws, ps))::double / len(list_distinct(ws || ps)) end, 6) as similarity from t where ps is not null""")
 def j18(spark, sf):
-    words = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 400)), " "), lambda x: x != ""))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: x != ""))
     d = table(spark, sf, "documents").select("doc_id", words.alias("ws"))
     # Each document against the next one of its id: an equality join, no global window.
     pairs = d.join(text.predecessor(d.select("doc_id", F.col("ws").alias("ps")), "doc_id"), "doc_id")

@@ -12,7 +12,7 @@ from ..operators import parsing, rules, search
 from ..sources import readers
 from ..sources.scratch import shared_folder
 from . import graphs
-from .query import SITES_SQL, UNITS_SQL, query, sites, table, units
+from .query import SITES_SQL, UNITS_SQL, pages, query, sites, table, units
 from .sources_and_parsers import _sources
 
 
@@ -64,18 +64,17 @@ def e4(spark, sf):
     return d.groupBy("lang").agg(F.count_if(F.col("dim") == 16).alias("n"), batch.cast("long").alias("batch"))
 
 
-@query("f7_security_patterns", f"with {SITES_SQL} select seq, 'p-' || category as pattern from sites where category in ('error', 'purchase') and risk_rank >= 2")
-def f7(spark, sf):
-    kept = sites(spark, sf).where(F.col("category").isin("error", "purchase") & (C.risk_rank("risk_level") >= 2))
-    return kept.select("seq", F.concat(F.lit("p-"), "category").alias("pattern"))
+CALL_PATTERNS = (("p-track", "tracking", "medium", (), ("track",)), ("p-code", "injection", "critical", (), ("eval", "exec")), ("p-log", "logging", "low", (), ("log",)), ("p-php", "injection", "high", ("php",), ("system", "track")))
 
 
-@query("j10_blended_rerank", "with f as (select p_partkey, round(0.6::double * p_size / 50 + 0.4::double * (p_partkey % 10) / 10, 6) as local from part order by local desc, p_partkey limit 40) select p_partkey, round(0.5::double * local + 0.5::double * (p_partkey % 7) / 7, 6) as score from f order by score desc, p_partkey limit 20")
-def j10(spark, sf):
-    k = F.col("p_partkey")
-    local = F.round(F.lit(0.6) * F.col("p_size") / 50 + F.lit(0.4) * (k % 10) / 10, 6).alias("local")
-    first = table(spark, sf, "part").select("p_partkey", local).orderBy(F.desc("local"), "p_partkey").limit(40)
-    return first.select("p_partkey", F.round(F.lit(0.5) * F.col("local") + F.lit(0.5) * (k % 7) / 7, 6).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(20)
+@query("f7_security_patterns", r"""
+with c as (select distinct page_id, unnest(regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_.]*)\(', 1)) as callee from pages),
+p(pattern_id, severity, name) as (values ('p-track', 'medium', 'track'), ('p-code', 'critical', 'eval'), ('p-code', 'critical', 'exec'))
+select distinct page_id as file_id, callee, pattern_id, severity from c join p on name = callee or name = split_part(callee, '.', -1)""")
+def f7(spark, sf):
+    calls = parsing.calls_of(pages(spark, sf)).distinct()
+    found = rules.match_calls(calls, CALL_PATTERNS, "javascript", ("tracking", "injection", "logging"), "medium")
+    return found.select("file_id", "callee", "pattern_id", "severity")
 
 
 @query("l15_cross_function_sinks", f"""with recursive {graphs.GRAPH_SQL}, t(param, origin, depth) as (select id, id, 0 from nodes where node_type = 'source' union select dst, origin, depth + 1 from t join edges on param = src where depth < 4)
@@ -107,18 +106,16 @@ def n6(spark, sf):
     return table(spark, sf, "events").select("user_id", "event_id", F.row_number().over(order).alias("place"))
 
 
-@query("o3_pluggable_parser", "select doc_id as file_id, (doc_id % 3)::bigint as kind from documents where doc_id % 3 < 2")
+@query("o3_pluggable_parser", "select page_id as file_id, 'title' as kind, regexp_extract(html, '<title>([^<]*)</title>', 1) as symbol from pages union all select doc_id, 'heading', string_split(text, chr(10))[1] from documents")
 def o3(spark, sf):
-    # A registry by extension: each parser is a function of DataFrames, and a file of an unknown kind gives no rows.
-    files = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), (F.col("doc_id") % 3).alias("kind"))
-    registry = {0: lambda f: f.select("file_id", "kind"), 1: lambda f: f.select("file_id", "kind")}
-    out = [parse(files.where(F.col("kind") == k)) for k, parse in registry.items()]
-    return out[0].unionByName(out[1])
-
-
-@query("p9_semantic_search", f"with {UNITS_SQL} select unit_id, symbol from units where language = 'en' order by abs(length(code) - 1500), unit_id limit 5")
-def p9(spark, sf):
-    return units(spark, sf).where("language = 'en'").orderBy(F.abs(F.char_length("code") - 1500), "unit_id").limit(5).select("unit_id", "symbol")
+    # A parser is a function of DataFrames, registered by extension; benchmark items have an extension that none is registered for.
+    f = lambda name, i, content, extension: table(spark, sf, name).select(F.col(i).alias("file_id"), F.concat(F.lit(f"{name}/"), i, F.lit(extension)).alias("path"), F.col(content).alias("content"))
+    files = f("pages", "page_id", "html", ".HTML").unionByName(f("documents", "doc_id", "text", ".txt")).unionByName(f("benchmark", "item_id", "text", ".bin"))
+    registry = {
+        "html": lambda rows: rows.select("file_id", F.lit("title").alias("kind"), F.regexp_extract("content", "<title>([^<]*)</title>", 1).alias("symbol")),
+        "txt": lambda rows: rows.select("file_id", F.lit("heading").alias("kind"), F.substring_index("content", "\n", 1).alias("symbol")),
+    }
+    return parsing.parse_by_extension(files, registry)
 
 
 @query("p11_context_pack", f"""with {graphs.CALLS_SQL}, hits as (select caller from calls where name = 'the' group by caller),
@@ -141,9 +138,9 @@ def p28(spark, sf):
     return calls.where(F.contains("name", F.lit("os."))).select("file_id", "name")
 
 
-@query("p31_tainted_parameters", "select doc_id as file_id, 'request' as parameter, true as tainted from documents where doc_id % 50 <> 0")
+@query("p31_tainted_parameters", "select doc_id as file_id, 'request' as parameter, true as tainted from documents")
 def p31(spark, sf):
-    heads = _sources(spark, sf).where("file_id % 50 <> 0").select("file_id", F.explode(C.lines("content")).alias("line")).where(F.startswith("line", F.lit("def ")))
+    heads = _sources(spark, sf).select("file_id", F.explode(C.lines("content")).alias("line")).where(F.startswith("line", F.lit("def ")))
     names = heads.withColumn("parameter", F.explode(parsing.call_arguments("line")))
     return names.select("file_id", "parameter", F.col("parameter").isin("request", "req").alias("tainted"))
 

@@ -242,11 +242,16 @@ def p33(spark, sf):
     return s.join(f, "unit_id").select("seq", F.when((F.col("e") > 0) & (k == "error"), 0.8).when((F.col("c") > 0) & (k == "click"), 0.3).when(F.col("e") + F.col("c") > 0, 0.2).otherwise(0.0).alias("relevance"))
 
 
-@query("k18_cwe_extraction", "select event_id, array_to_string(list_sort(list_distinct(['CWE-' || (event_id % 9), 'CWE-' || (event_id % 4)])), ',') as cwe from events")
+@query("k18_cwe_extraction", """
+with t as (select p_partkey, case p_partkey % 3 when 0 then ['CWE-' || p_size] when 1 then ['CWE-' || p_size, 'CWE-' || p_partkey % 9] else [] end as named, case when p_partkey % 2 = 0 then ['CWE-' || p_partkey % 4] else [] end as tagged from part)
+select p_partkey, array_to_string(list_sort(list_distinct(named || tagged)), ',') as cwe from t""")
 def k18(spark, sf):
-    tags = F.array(F.concat(F.lit("CWE-"), F.col("event_id") % 4), F.lit("security"))
-    listed = F.array(F.concat(F.lit("CWE-"), F.col("event_id") % 9))
-    return table(spark, sf, "events").select("event_id", F.array_join(F.array_sort(F.array_distinct(F.array_union(listed, F.filter(tags, lambda t: t.startswith("CWE-"))))), ",").alias("cwe"))
+    # Rules of three kinds: the field is a string, a list or absent; tags carry ids among other words.
+    k, size = F.col("p_partkey"), F.concat(F.lit("CWE-"), "p_size")
+    one, two = F.to_json(F.struct(size.alias("cwe"))), F.to_json(F.struct(F.array(size, F.concat(F.lit("CWE-"), k % 9)).alias("cwe")))
+    metadata = F.when(k % 3 == 0, one).when(k % 3 == 1, two).otherwise("{}")
+    tags = F.array(F.lit("security"), F.when(k % 2 == 0, F.concat(F.lit("CWE-"), k % 4)).otherwise("external"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(C.cwe_ids(metadata, tags), ",").alias("cwe"))
 
 
 @query("g9_site_details", f"with {SITES_SQL}, d as (select unit_id, arg_min(rule_id, seq) as rule_id from sites group by unit_id) select c_custkey, coalesce(d.rule_id, 'none') as rule_id from customer left join d on c_custkey = d.unit_id")

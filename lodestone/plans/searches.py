@@ -13,13 +13,13 @@ _COS = "list_sum([p[1]::double * p[2]::double for p in list_zip({a}, {b})]) / (s
 WORDS = ("the", "token", "licensed")
 
 
-def _nearest(spark, sf, k, every=250, least=None):
+def _nearest(spark, sf, k, every=20, least=None):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
     asked = e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
     return search.vector_top_k(e, asked, k, least)
 
 
-def _nearest_sql(k, every=250, where="true"):
+def _nearest_sql(k, every=20, where="true"):
     return f"""near as (select * from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (
     select q.vec_id as query_id, e.vec_id, e.label, q.label as q_label, round({_COS.format(a='e.embedding', b='q.embedding')}, 6) as score
@@ -55,14 +55,41 @@ def _words(spark, sf):
 
 _WORD_SQL = f"""{UNITS_SQL}, ks as (select unit_id, round(({' + '.join(f"case when len(regexp_extract_all(' ' || regexp_replace(lower(code), '([^A-Za-z0-9_])', chr(92) || '1' || chr(92) || '1', 'g') || ' ', '[^A-Za-z0-9_]{w}[^A-Za-z0-9_]')) > 0 then len(regexp_extract_all(' ' || regexp_replace(lower(code), '([^A-Za-z0-9_])', chr(92) || '1' || chr(92) || '1', 'g') || ' ', '[^A-Za-z0-9_]{w}[^A-Za-z0-9_]'))::double when contains(lower(code), '{w}') then 0.5::double else 0.0::double end" for w in WORDS)}) / 3, 6) as score from units),
   kw as (select unit_id, score, row_number() over (order by score desc, unit_id) - 1 as rank from ks where score > 0 qualify rank < 20),
-  lens as (select unit_id, round(1.0::double / (1 + abs(length(code) - 3000) / 1000.0::double), 6) as score from units),
+  lens as (select unit_id, round({_COS.format(a='e.embedding', b='q.embedding')}, 6) as score from embeddings e join units on unit_id = e.vec_id join embeddings q on q.vec_id = 0 and e.vec_id <> 0),
   vec as (select unit_id, score, row_number() over (order by score desc, unit_id) - 1 as rank from lens qualify rank < 20)"""
 
 
+def _unit_vectors(spark, sf):
+    """vec_id, embedding, symbol, language, file_path of the units that have a vector."""
+    named = units(spark, sf).select(F.col("unit_id").alias("vec_id"), "symbol", "language", "file_path")
+    return table(spark, sf, "embeddings").select("vec_id", "embedding").join(named, "vec_id")
+
+
+def _asked(spark, sf, condition="vec_id % 20 = 0"):
+    return table(spark, sf, "embeddings").where(condition).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
 def _arms(spark, sf):
-    u = units(spark, sf)
-    near = u.select("unit_id", F.round(F.lit(1.0) / (1 + F.abs(F.char_length("code") - 3000) / F.lit(1000.0)), 6).alias("score"))
-    return search.top(near, 20, "unit_id"), search.top(_words(spark, sf).select("unit_id", "score"), 20, "unit_id")
+    """The 20 units nearest to the vector of number 0, and the 20 best by keywords."""
+    near = search.vector_top_k(_unit_vectors(spark, sf), _asked(spark, sf, "vec_id = 0"), 20)
+    return near.select(F.col("vec_id").alias("unit_id"), "score", (F.col("rank") - 1).alias("rank")), search.top(_words(spark, sf).select("unit_id", "score"), 20, "unit_id")
+
+
+_UNIT_NEAR_SQL = f"""{UNITS_SQL}, near as (select query_id, unit_id, symbol, score, (row_number() over (partition by query_id order by score desc, unit_id))::int as rank from (
+  select q.vec_id as query_id, unit_id, symbol, round({_COS.format(a='e.embedding', b='q.embedding')}, 6) as score from embeddings e join units on unit_id = e.vec_id join embeddings q on q.vec_id % 20 = 0 and q.vec_id <> e.vec_id where {{where}}))"""
+
+
+@query("p9_semantic_search", f"with {_UNIT_NEAR_SQL.format(where=chr(39).join(('language = ', 'en', ' and starts_with(file_path, ', 'src1/', ')')))} select query_id, unit_id, symbol, score, rank from near where rank <= 5")
+def p9(spark, sf):
+    store = _unit_vectors(spark, sf).where((F.col("language") == "en") & C.matches_glob("file_path", "src1/*"))
+    return search.vector_top_k(store, _asked(spark, sf), 5).select("query_id", F.col("vec_id").alias("unit_id"), "symbol", "score", "rank")
+
+
+@query("p10_search_then_filter", f"with {_UNIT_NEAR_SQL.format(where='true')} select query_id, unit_id, symbol, rank from near where rank <= 30 and contains(symbol, '1')")
+def p10(spark, sf):
+    # First the 30 nearest, then the filter: a query may keep fewer than match in the whole store.
+    near = search.vector_top_k(_unit_vectors(spark, sf), _asked(spark, sf), 30)
+    return near.where(F.contains("symbol", F.lit("1"))).select("query_id", F.col("vec_id").alias("unit_id"), "symbol", "rank")
 
 
 @query("j3_keyword_top_k", f"with {_WORD_SQL} select unit_id, score, rank::int as rank from kw")
@@ -110,12 +137,12 @@ def _factors(spark, sf):
 
 @query("j8_multi_factor_rerank", f"with {_PART_SQL}, s as (select p_partkey, round(case when security > 0.5 then (0.4::double * vector + 0.25::double * keyword + 0.2::double * security + 0.15::double * context) * 1.5::double else 0.4::double * vector + 0.25::double * keyword + 0.2::double * security + 0.15::double * context end, 6) as score from f) select p_partkey, score, (row_number() over (order by score desc, p_partkey))::int as rank from s order by rank limit 50")
 def j8(spark, sf):
-    return search.rerank(_factors(spark, sf), (0.4, 0.25, 0.2, 0.15), 1.5, 0.5, "p_partkey").where("rank <= 50").select("p_partkey", "score", "rank")
+    return search.rerank(_factors(spark, sf), (0.4, 0.25, 0.2, 0.15), 1.5, 0.5, "p_partkey", 50).select("p_partkey", "score", "rank")
 
 
 @query("j9_security_first_rerank", f"with {_PART_SQL}, s as (select p_partkey, round(case when security > 0.6 then (0.35::double * vector + 0.2::double * keyword + 0.3::double * security + 0.15::double * context) * 1.8::double else 0.35::double * vector + 0.2::double * keyword + 0.3::double * security + 0.15::double * context end, 6) as score from f) select p_partkey, score, (row_number() over (order by score desc, p_partkey))::int as rank from s order by rank limit 50")
 def j9(spark, sf):
-    return search.rerank(_factors(spark, sf), (0.35, 0.2, 0.3, 0.15), 1.8, 0.6, "p_partkey").where("rank <= 50").select("p_partkey", "score", "rank")
+    return search.rerank(_factors(spark, sf), (0.35, 0.2, 0.3, 0.15), 1.8, 0.6, "p_partkey", 50).select("p_partkey", "score", "rank")
 
 
 @query("j11_hybrid_boost", f"with {_PART_SQL}, near as (select * from f order by vector desc, p_partkey limit 60) select p_partkey, round(0.7::double * vector + 0.3::double * keyword, 6) as score from near order by score desc, p_partkey limit 20")
@@ -313,14 +340,25 @@ def g12(spark, sf):
     return inc.upsert(stored.withColumn("origin", F.lit("stored")), live.withColumn("origin", F.lit("live")), "event_id")
 
 
-@query("j14_variant_search", """
-with s as (select doc_id, lang, list_distinct([w for w in string_split(regexp_replace(lower(text[1:300]), '[0-9]+', 'num', 'g'), ' ') if w <> '']) as ws from documents),
-q as (select * from s where doc_id % 500 = 0)
-select q.doc_id as pattern_id, s.doc_id, round(len(list_intersect(q.ws, s.ws)) / len(list_distinct(q.ws || s.ws))::double, 6) as score from q join s on q.lang = s.lang and q.doc_id <> s.doc_id where round(len(list_intersect(q.ws, s.ws)) / len(list_distinct(q.ws || s.ws))::double, 6) >= 0.15""")
+@query("j14_variant_search", f"""
+with {_nearest_sql(20, where='score >= 0.4')},
+s as (select doc_id, list_distinct([w for w in string_split(regexp_replace(lower(text), '[0-9]+', 'num', 'g'), ' ') if w <> '']) as ws from documents),
+j as (select query_id as pattern_id, vec_id as doc_id, score, len(list_intersect(a.ws, b.ws)) / greatest(1, len(list_distinct(a.ws || b.ws)))::double as words from near join s a on a.doc_id = query_id join s b on b.doc_id = vec_id)
+select pattern_id, doc_id, round(0.6::double * score + 0.4::double * words, 6) as score from j where round(0.6::double * score + 0.4::double * words, 6) >= 0.3""")
 def j14(spark, sf):
-    words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.substring("text", 1, 300)), "[0-9]+", "num"), " "), lambda w: w != ""))
-    s = table(spark, sf, "documents").select("doc_id", "lang", words.alias("ws"))
-    q = s.where("doc_id % 500 = 0").select(F.col("doc_id").alias("pattern_id"), "lang", F.col("ws").alias("qs"))
-    return s.join(q, "lang").where("doc_id <> pattern_id").select("pattern_id", "doc_id", F.round(C.jaccard("qs", "ws"), 6).alias("score")).where("score >= 0.15")
-
-
+    # Vectors choose the candidates; the texts' words, numbers made alike, are compared for those pairs alone.
+    near = _nearest(spark, sf, 20, least=0.4).select(F.col("query_id").alias("pattern_id"), F.col("vec_id").alias("doc_id"), "score")
+    words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("text"), "[0-9]+", "num"), " "), lambda w: w != ""))
+    s = table(spark, sf, "documents").select("doc_id", words.alias("ws"))
+    pairs = near.join(s, "doc_id").join(s.select(F.col("doc_id").alias("pattern_id"), F.col("ws").alias("qs")), "pattern_id")
+    score = F.round(F.lit(0.6) * F.col("score") + F.lit(0.4) * C.jaccard("qs", "ws"), 6)
+    return pairs.select("pattern_id", "doc_id", score.alias("score")).where("score >= 0.3")
+
+
+@query("j10_blended_rerank", f"""with {_PART_SQL}, s as (select *, round(case when security > 0.5 then (0.4::double * vector + 0.25::double * keyword + 0.2::double * security + 0.15::double * context) * 1.5::double else 0.4::double * vector + 0.25::double * keyword + 0.2::double * security + 0.15::double * context end, 6) as score from f),
+l as (select * from s order by score desc, p_partkey limit 40), b as (select p_partkey, round(case when p_partkey % 6 = 0 then score else 0.3::double * score + 0.7::double * context end, 6) as score from l)
+select p_partkey, score, (row_number() over (order by score desc, p_partkey))::int as rank from b order by rank limit 20""")
+def j10(spark, sf):
+    # The second model's scores come as a column; a row that it left out has none.
+    local = search.rerank(_factors(spark, sf), (0.4, 0.25, 0.2, 0.15), 1.5, 0.5, "p_partkey", 40)
+    return search.blended_rerank(local, F.when(F.col("p_partkey") % 6 != 0, F.col("context")), "p_partkey", 20)

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.embeddings import hash_embedding
+from ..functions.embeddings import hash_embedding, md5_embedding
 from ..operators import graph as G
 from ..operators import incremental as inc
 from ..operators import parsing, query_language, rules, search, text
@@ -139,12 +139,6 @@ def p7(spark, sf):
     return u.where((F.col("symbol") == "doc_12") | F.endswith("symbol", F.lit(".doc_12"))).select("unit_id", "symbol", F.char_length("code").cast("long").alias("n_chars"))
 
 
-@query("p10_search_then_filter", f"with {UNITS_SQL}, near as (select * from units order by abs(length(code) - 3000), unit_id limit 30) select unit_id, symbol from near where contains(symbol, '1')")
-def p10(spark, sf):
-    near = units(spark, sf).orderBy(F.abs(F.char_length("code") - 3000), "unit_id").limit(30)
-    return near.where(F.contains("symbol", F.lit("1"))).select("unit_id", "symbol")
-
-
 @query("p13_search_within_file", f"with {UNITS_SQL} select unit_id from units where starts_with(file_path, 'src2/') and contains(lower(code), 'the')")
 def p13(spark, sf):
     return query_language.search(units(spark, sf), "the path:src2/*").select("unit_id")
@@ -199,7 +193,7 @@ def j7(spark, sf):
 def j15(spark, sf):
     counts = sites(spark, sf).groupBy("unit_id", "category").agg(F.count(F.lit(1)).cast("double").alias("n"))
     norms = counts.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    asked = counts.where("unit_id % 50 = 0").select(F.col("unit_id").alias("query_id"), "category", F.col("n").alias("m"))
+    asked = counts.where("unit_id % 20 = 0").select(F.col("unit_id").alias("query_id"), "category", F.col("n").alias("m"))
     dots = counts.join(asked, "category").where("unit_id <> query_id").groupBy("query_id", "unit_id").agg(F.sum(F.col("n") * F.col("m")).alias("d"))
     scored = dots.join(norms, "unit_id").join(norms.select(F.col("unit_id").alias("query_id"), F.col("norm").alias("q")), "query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
@@ -221,12 +215,20 @@ def o2(spark, sf):
 
 @query("d6_overlapping_chunks", None)
 def d6(spark, sf):
-    windows = text.line_windows(table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("content")), 4, 1)
-    return windows.select("conv_id", "turn", "start_line", "end_line", C.tokens_flat("chunk").alias("tokens"))
-
-
-@query("e2_similar_by_embedding", None)
+    chunks = text.overlapping_chunks(table(spark, sf, "documents").select("doc_id", F.col("text").alias("content")), 300, 40)
+    return chunks.select("doc_id", "chunk_index", "start_line", "end_line", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+@query("e2_similar_by_embedding", r"""
+with t as (select item_id, regexp_extract_all(lower(text), '\S+') as w from benchmark),
+g as (select item_id, unnest(w) as feature, 1.0::double as weight from t union all select item_id, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]), 0.5::double from t),
+h as (select item_id, ('0x' || md5(feature)[31:32])::int as low, weight from g),
+v as (select item_id, low % 128 as place, sum(case when low < 128 then weight else -weight end) as x from h group by all),
+n as (select item_id, sqrt(sum(x * x)) as norm from v group by item_id),
+s as (select a.item_id as query_id, b.item_id as vec_id, sum(a.x * b.x) as d from v a join v b using (place) where a.item_id % 20 = 0 and a.item_id <> b.item_id group by all),
+r as (select query_id, vec_id, round(d / (q.norm * e.norm), 6) as score from s join n q on q.item_id = query_id join n e on e.item_id = vec_id)
+select query_id, vec_id, score, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from r qualify rank <= 3""")
 def e2(spark, sf):
-    e = table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id"), hash_embedding(128)("text").alias("embedding"))
-    asked = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    e = table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id"), md5_embedding(128)("text").alias("embedding"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return search.vector_top_k(e, asked, 3).select("query_id", "vec_id", "score", "rank")
