@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.columns import col
+from ..sources.scratch import stored
 
 
 def grep(files: DataFrame, pattern: str, context: int = 0) -> DataFrame:
@@ -187,11 +188,12 @@ def keyword_lines(files: DataFrame, words: Sequence[str]) -> DataFrame:
 
 
 def predecessor(rows: DataFrame, key: str) -> DataFrame:
-    """rows, each under the next key of the table: ranks in ranges, so that no task sorts them all."""
-    ranged = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key)
-    placed = ranged.withColumn("part", F.spark_partition_id())
-    within = Window.partitionBy("part").orderBy(key)
-    following = placed.withColumn("next", F.lead(key).over(within))
+    """rows, each under the next key of the table: keys are sorted in ranges, so that no task sorts them all.
+
+    The keys and their ranges are written first: ranges drawn twice, or merged by adaptive execution in one branch only, would differ."""
+    ranged = rows.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(F.col(key)).sortWithinPartitions(key)
+    placed = stored(ranged.withColumn("part", F.spark_partition_id()))
+    following = placed.withColumn("next", F.lead(key).over(Window.partitionBy("part").orderBy(key)))
     first = placed.groupBy("part").agg(F.min(key).alias("first")).withColumn("next_first", F.lead("first").over(Window.orderBy("part"))).drop("first")
-    joined = following.join(first, "part").withColumn("next", F.coalesce("next", "next_first")).where("next is not null")
-    return joined.select(F.col("next").alias(key), *[c for c in rows.columns if c != key])
+    steps = following.join(first, "part").select(key, F.coalesce("next", "next_first").alias("next")).where("next is not null")
+    return rows.join(steps, key).select(F.col("next").alias(key), *[c for c in rows.columns if c != key])
