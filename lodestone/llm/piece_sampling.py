@@ -106,7 +106,13 @@ class Pieces:
         self.bucket = np.searchsorted(self.codes >> np.uint64(46), np.arange(2**18, dtype=np.uint64)).astype(np.int32)
         self.probes = int(np.bincount((self.codes >> np.uint64(46)).astype(np.int64)).max())
         self.codes, self.ids = np.append(self.codes, np.zeros(self.probes + 1, np.uint64)), np.append(self.ids, np.zeros(self.probes + 1, np.int32))
-        self.single = {b for length in by_length for b, _ in by_length[length] if len(b.decode()) == 1}
+        # Where a text agrees with no longer piece so far, none has to be looked for: a table by the first bits of the codes of openings.
+        self.goes_on = np.zeros(2**20, dtype=bool)
+        for length in self.lengths:
+            opens = {b[:length] for longer, own in by_length.items() if longer > length for b, _ in own}
+            if opens:
+                h = self.hashes(b"".join(opens))
+                self.goes_on[(self.of(h, np.arange(len(opens)) * length, length) >> np.uint64(44)).astype(np.int64)] = True
 
     def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which codes are those of pieces, and their ids."""
@@ -225,8 +231,10 @@ class Lattice:
             some = some[left[some] >= length]
             if not len(some):
                 break
-            hit, of = pieces.find(pieces.of(h, some, length))
+            code = pieces.of(h, some, length)
+            hit, of = pieces.find(code)
             hit = some[hit]
+            some = some[pieces.goes_on[(code >> np.uint64(44)).astype(np.int64)]]
             found.append((hit, count[hit], length, of))
             count[hit] += 1
             alone[hit[char_end[hit] == hit + length]] = True
