@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_search, line_dedup, mixing, ngram_join, piece_sampling, quality, secrets, substring_dedup, token_counts, toxicity
+from . import exact_search, line_dedup, mixing, ngram_join, ngram_lm, piece_sampling, quality, secrets, spelling, substring_dedup, token_counts, toxicity, vector_codes
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_piece_sampling": piece_sampling.op9_piece_sampling,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_ngram_lm": ngram_lm.op12_ngram_lm,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLE_SQL = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op6_exact_topk": exact_search.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
 }
