@@ -51,10 +51,10 @@ from .common import drop_stored, fresh, give_back, shared_folder, stored, table
 
 HELD_OUT, OF = 2, 7
 #: Text of a shard; and of what a worker looks at at once.
-SHARD_BYTES = 32_000_000
-SLICE_BYTES = 3_000_000
+SHARD_BYTES = 16_000_000
+SLICE_BYTES = 1_000_000
 #: Trigrams that a task adds up before it sends them.
-GATHERED = 3_000_000
+GATHERED = 1_000_000
 BEGIN, END, UNKNOWN = 0, 1, 2**32 - 1
 #: Files that a worker holds open.
 OPEN_FILES = 600
