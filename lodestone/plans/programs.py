@@ -72,7 +72,8 @@ def l16_table(spark, sf):
     return P.data_edges(P.graph_nodes(programs(spark, sf)), reaching=False).select("file_id", "src", "dst", "variable")
 
 
-_ID = F.col("file_id") * 1000 + F.col("node_id")
+def _with_id(nodes):
+    return nodes.withColumn("id", F.col("file_id") * 1000 + F.col("node_id"))
 
 
 def _global(edges):
@@ -93,7 +94,7 @@ select start, last as "end", array_to_string({shown}, '>') as path from hit wher
 @query("l17_data_flow_paths", _paths_sql("'data_flow', 'data_use', 'call_arg'", "ty = 'parameter' and nm = 'request'", "ty = 'call' and starts_with(nm, 'send')", "path[1:len(path) - 1]"))
 def l17_data(spark, sf):
     n = P.stored(P.graph_nodes(programs(spark, sf)))
-    ids = n.withColumn("id", _ID)
+    ids = _with_id(n)
     found = P.typed_paths(_global(P.graph_edges(n)), ids.where("node_type = 'parameter' and name = 'request'"), ids.where("node_type = 'call' and startswith(name, 'send')"), P.DATA)
     return found.select("start", "end", F.array_join("path", ">").alias("path"))
 
@@ -101,7 +102,7 @@ def l17_data(spark, sf):
 @query("l17_control_flow_paths", _paths_sql("'control_flow', 'control_true', 'control_false', 'control_return'", "ty = 'function'", "ty in ('call', 'return')", "path[1:len(path) - 1]"))
 def l17_control(spark, sf):
     n = P.stored(P.graph_nodes(programs(spark, sf)))
-    ids = n.withColumn("id", _ID)
+    ids = _with_id(n)
     found = P.typed_paths(_global(P.graph_edges(n)), ids.where("node_type = 'function'"), ids.where("node_type in ('call', 'return')"), P.CONTROL)
     return found.select("start", "end", F.array_join("path", ">").alias("path"))
 
@@ -109,7 +110,7 @@ def l17_control(spark, sf):
 @query("l17_all_edge_paths", _paths_sql("'ast_child', 'control_flow', 'control_true', 'control_false', 'data_flow'", "ty = 'loop'", "ty = 'return'", "path"))
 def l17_all(spark, sf):
     n = P.stored(P.graph_nodes(programs(spark, sf)))
-    ids = n.withColumn("id", _ID)
+    ids = _with_id(n)
     found = P.typed_paths(_global(P.graph_edges(n)), ids.where("node_type = 'loop'"), ids.where("node_type = 'return'"), None, with_end=True)
     return found.select("start", "end", F.array_join("path", ">").alias("path"))
 

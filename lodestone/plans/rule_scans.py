@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import rules
+from ..operators import rule_index, rules
 from .query import SITES_SQL, UNITS_SQL, query, sites, table, units
 
 #: Rules for the synthetic texts: id, category, risk, pattern on a lower-case line.
@@ -248,3 +248,28 @@ def c5(spark, sf):
     lines = table(spark, sf, "pages").select("page_id", F.posexplode(C.lines(F.regexp_replace("html", "<", "\n<"))).alias("i", "line"))
     head = "^<(h1|article|nav|script|table)"
     return lines.where(F.col("line").rlike(head)).select("page_id", F.regexp_extract("line", head, 1).alias("symbol"), (F.col("i") + 1).cast("long").alias("line_no"))
+
+
+def _part_rules(spark, sf):
+    """A rule for each part, of five kinds, about names of customers; some begin with no letter, and some are no expression."""
+    k = F.col("p_partkey")
+    number = F.format_string("%09d", k)
+    pattern = (
+        F.when(k % 5 == 0, F.concat(F.lit("Customer#"), number))
+        .when(k % 5 == 1, F.concat(F.lit("prefix:Customer#"), F.expr("left(format_string('%09d', p_partkey), cast(6 + p_partkey % 3 as int))")))
+        .when(k % 5 == 2, F.concat(F.lit("suffix:"), F.expr("right(format_string('%09d', p_partkey), 4)")))
+        .when(k % 5 == 3, F.concat(F.lit("contains:0"), k % 1000))
+        .otherwise(F.when(k % 100 == 4, F.concat(F.lit("regex:[A-C]ustomer#0*"), k, F.lit("$"))).when(k % 100 == 9, "regex:Customer(#").otherwise(F.concat(F.lit("regex:Customer#0+"), k, F.lit("[0-4]?$"))))
+    )
+    return table(spark, sf, "part").select(F.format_string("R%d", k).alias("rule_id"), pattern.alias("pattern"))
+
+
+@query("f2_rule_index", """
+with p as (select p_partkey as k, printf('%09d', p_partkey) as s from part),
+r as (select 'R' || k as rule_id, k % 5 as t, case k % 5 when 0 then 'Customer#' || s when 1 then 'Customer#' || left(s, (6 + k % 3)::int) when 2 then right(s, 4) when 3 then '0' || (k % 1000)
+  else case when k % 100 = 4 then '^([A-C]ustomer#0*' || k || '$)' when k % 100 = 9 then null else '^(Customer#0+' || k || '[0-4]?$)' end end as x from p),
+m as (select c_name, rule_id, t from (select distinct c_name from customer) c, r where case t when 0 then c_name = x when 1 then starts_with(c_name, x) when 2 then ends_with(c_name, x) when 3 then contains(c_name, x) else regexp_matches(c_name, x) end)
+select c_custkey, rule_id, (['exact', 'prefix', 'suffix', 'contains', 'regex'])[t + 1] as kind, (row_number() over (partition by c_custkey order by case when t = 0 then 0 else 1 end, rule_id))::int as place from customer join m using (c_name)""")
+def f2_index(spark, sf):
+    index = rule_index.rule_index(_part_rules(spark, sf))
+    return rule_index.lookup(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_name", index).drop("c_name")
