@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import incremental as inc
-from ..operators import search
+from ..operators import search, similar
 from .query import PAGES_SQL, SITES_SQL, UNITS_SQL, pages, query, sites, table, units
 
 _COS = "list_sum([p[1]::double * p[2]::double for p in list_zip({a}, {b})]) / (sqrt(list_sum([x::double * x::double for x in {a}])) * sqrt(list_sum([x::double * x::double for x in {b}])) + 1e-10)"
@@ -46,7 +46,7 @@ def g11(spark, sf):
 select a.vec_id as a, b.vec_id as b, round(list_sum([p[1]::double * p[2]::double for p in list_zip(a.embedding, b.embedding)]) / (sqrt(list_sum([x::double * x::double for x in a.embedding])) * sqrt(list_sum([x::double * x::double for x in b.embedding]))), 6) as score
 from embeddings a join embeddings b on a.vec_id < b.vec_id where round(list_sum([p[1]::double * p[2]::double for p in list_zip(a.embedding, b.embedding)]) / (sqrt(list_sum([x::double * x::double for x in a.embedding])) * sqrt(list_sum([x::double * x::double for x in b.embedding]))), 6) >= 0.4""")
 def g10(spark, sf):
-    return search.similar_pairs(table(spark, sf, "embeddings").select("vec_id", "embedding"), 0.4)
+    return similar.similar_pairs(table(spark, sf, "embeddings").select("vec_id", "embedding"), 0.4)
 
 
 def _words(spark, sf):
