@@ -10,6 +10,7 @@ from ..operators import context_pack, tree
 from ..operators import taint as T
 from ..sources.journal import Journal
 from ..sources.scratch import shared_folder, stored
+from ..streaming import bounded, streams
 from . import programs, searches
 from .query import query, table
 
@@ -83,3 +84,20 @@ def p11_pack(spark, sf):
     hits = searches._nearest(spark, sf, 5).select("query_id", F.col("vec_id").alias("unit_id"), "rank")
     calls = T.call_arguments(units).select("unit_id", "callee", F.col("call").alias("place"))
     return context_pack.context_pack(hits, units, calls).withColumn("code_md5", F.md5(F.col("code").cast("binary"))).drop("code")
+
+
+@query("n3_closed_windows", """with w as (select time_bucket(interval 1 hour, ts) as started, event_type, count(*)::bigint as n, round(sum(value), 4) as total from events group by 1, 2)
+select * from w where started + interval 1 hour <= (select max(ts) - interval 2 hour from events)""")
+def n3_closed(spark, sf):
+    base = f"{shared_folder(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+    stream = bounded.closed_windows(streams.event_stream(spark, sf))
+    bounded.append_to(stream, base)
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+@query("h6_bucket_merge", "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id")
+def h6_merge(spark, sf):
+    stream = streams.event_stream(spark, sf).select("user_id", "event_id", "event_type")
+    latest = bounded.LatestTable(spark, f"{shared_folder(spark).rstrip('/')}/latest-{uuid.uuid4().hex}", "user_id", "event_id", buckets=16)
+    latest.follow(stream)
+    return latest.read(stream.schema)
