@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import property_graph as P
-from ..operators import taint
+from ..operators import routes, taint
 from .query import query, table
 
 #: Lines of an order in a total order; the numbers that a statement is made of.
@@ -172,3 +172,52 @@ select u as unit_id, n as name, depth::int as depth, sink, case when sink = 'sys
 def l15_sinks(spark, sf):
     units = P.stored(calling_units(spark, sf))
     return taint.cross_function_sinks(units, taint.request_parameters(units), SINKS, r"\bquote\(").drop("origin")
+
+
+# Files that declare routes: a file for each order, of one of six frameworks, with a route for most of its lines.
+
+
+def route_files(spark, sf):
+    """file_id, content."""
+    kind, t, k = F.col("o") % 6, F.col("t") % 3, F.col("k")
+    line = lambda text, *c: F.format_string(text, *c)
+    flask = F.when(t == 0, line("@app.route('/%s/<id>', methods=['GET', 'post'])\ndef h%d(id):\n    pass", "a", "k")).when(t == 1, line('@bp.post("/b%d/{key}")\n@login\nasync def h%d():\n    pass', "s", "k")).otherwise(line("@app.route('/c%d')\n#\n#\n#\n#\n#\ndef late%d():", "k", "k"))
+    express = F.when(t == 0, line("app.all('/x%d/:id/:%s', h%d)", "s", "a", "k")).when(t == 1, line('router.delete("/y%d", (req, res) => {', "s")).otherwise("app.use(z)")
+    nest = F.when(t == 0, line("  @Get(':id')\n  async m%d() {", "k")).when(t == 1, line("  @Post()\n  if (x) {\n  m%d(", "k")).otherwise(line("  @Patch(\"/p%d/\")\n\n\n\n  m%d() {", "s", "k"))
+    spring = F.when(t == 0, line('  @GetMapping("/u%d/{id}")\n  public String m%d(int id) {', "s", "k")).when(t == 1, line("  @RequestMapping()\n  @Auth\n  void m%d()", "k")).otherwise("  // nothing")
+    django = line("    path('p%d/<int:pk>/', view%d),", "s", "k")
+    gin = F.when(t == 0, line('r.PATCH("/g%d/:id/*rest", h%d)', "s", "k")).otherwise(line('v1.HEAD("/h%d", func(c) {', "s"))
+    text = F.when(kind == 0, flask).when(kind == 1, express).when(kind == 2, nest).when(kind == 3, spring).when(kind == 4, django).otherwise(gin)
+    rows = order_lines(spark, sf).select(F.col("o").alias("file_id"), "k", text.alias("x"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda r: r["x"]), "\n")
+    which = F.col("file_id") % 6
+    head = F.when(which == 0, "app = Flask(__name__)").when(which == 1, "const app = express();").when(which == 2, line("@Controller('/c%d/')", "file_id")).when(which == 3, line('@RequestMapping("api%d")\npublic class A {', "file_id")).when(which == 4, "urlpatterns = [").otherwise("r := gin.Default()")
+    return rows.groupBy("file_id").agg(body.alias("body")).select("file_id", F.concat(head, F.lit("\n"), "body").alias("content"))
+
+
+#: The lines with the number of text lines each has, and the text line at which it begins.
+ROUTES_SQL = f"""{LINES_SQL},
+w as (select *, o % 6 as kind, t % 3 as u, case o % 6 when 0 then (case t % 3 when 0 then 3 when 1 then 4 else 7 end) when 2 then (case t % 3 when 0 then 2 when 1 then 3 else 5 end) when 3 then (case t % 3 when 0 then 2 when 1 then 3 else 1 end) else 1 end as n from ls),
+r as (select *, (case kind when 3 then 3 else 2 end + coalesce(sum(n) over (partition by o order by k rows between unbounded preceding and 1 preceding), 0))::int as line, bool_or(u = 1) over (partition by o order by k) as bare from w)"""
+
+
+@query("c9_file_frameworks", f"""with {ROUTES_SQL} select distinct o as file_id, (['flask', 'express', 'nestjs', 'spring', 'django', 'gin'])[kind + 1] as framework from r
+union select distinct o, 'koa' from r where kind = 1 and u = 1 union select distinct o, 'spring' from r where kind = 2""")
+def c9_files(spark, sf):
+    return routes.detect_frameworks(route_files(spark, sf))
+
+
+@query("c10_framework_routes", f"""with {ROUTES_SQL}
+select o as file_id, 'flask' as framework, line, case u when 0 then '/' || a || '/<id>' when 1 then '/b' || s || '/{{key}}' else '/c' || k end as path, case u when 0 then 'GET,POST' when 1 then 'POST' else 'GET' end as methods,
+  case u when 2 then 'unknown' else 'h' || k end as handler, case u when 0 then 'id' when 1 then 'key' else '' end as params from r where kind = 0
+union all select o, 'express', line, case u when 0 then '/x' || s || '/:id/:' || a else '/y' || s end, case u when 0 then 'GET,POST,PUT,DELETE,PATCH' else 'DELETE' end, case u when 0 then 'h' || k else 'res' end, case u when 0 then 'id,' || a else '' end from r where kind = 1 and u < 2
+union all select o, 'nestjs', line, '/c' || o || case u when 0 then '/:id' when 1 then '/' else '/p' || s end, case u when 0 then 'GET' when 1 then 'POST' else 'PATCH' end, case when u < 2 then 'm' || k else 'unknown' end, case u when 0 then 'id' else '' end from r where kind = 2
+union all select distinct o, 'spring', 1, '/api' || o || '/api' || o, 'GET,POST', coalesce(arg_min(case when u < 2 and line + u <= 5 then 'm' || k end, k) over (partition by o), 'unknown'), '' from r where kind = 3
+union all select o, 'spring', line, case when bare then '' else '/api' || o end || case u when 0 then '/u' || s || '/{{id}}' else '/' end, case u when 0 then 'GET' else 'GET,POST' end, 'm' || k, case u when 0 then 'id' else '' end from r where kind = 3 and u < 2
+union all select o, 'django', line, '/p' || s || '/<int:pk>', 'GET,POST', 'view' || k, 'pk' from r where kind = 4
+union all select o, 'gin', line, case u when 0 then '/g' || s || '/:id/*rest' else '/h' || s end, case u when 0 then 'PATCH' else 'HEAD' end, case u when 0 then 'h' || k else 'anonymous' end, case u when 0 then 'id,rest' else '' end from r where kind = 5""")
+def c10_routes(spark, sf):
+    files = route_files(spark, sf)
+    kinds = F.element_at(F.array(*map(F.lit, ("flask", "express", "nestjs", "spring", "django", "gin"))), (F.col("file_id") % 6 + 1).cast("int"))
+    found = routes.routes(files.withColumn("framework", kinds))
+    return found.select("file_id", "framework", "line", "path", F.array_join("methods", ",").alias("methods"), "handler", F.array_join("params", ",").alias("params"))
