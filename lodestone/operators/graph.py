@@ -67,13 +67,18 @@ def levels(edges: DataFrame, nodes: DataFrame, most: int = 100) -> DataFrame:
 
 def resolve_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """calls(caller, file_path, language, name) with target: a node(id, name, file_path, language) of that name and language, of the same
-    file before others, then by id. A name that no node has is external; one of other languages only gives no edge."""
-    named = nodes.select(F.col("id").alias("target"), "name", F.col("file_path").alias("to_file"), F.col("language").alias("to_language"))
-    found = calls.join(named, "name", "left")
-    same = F.col("to_language") == F.col("language")
-    best = Window.partitionBy("caller", "name").orderBy(F.when(same, 0).otherwise(1), F.when(F.col("to_file") == F.col("file_path"), 0).otherwise(1), F.col("target"))
-    first = found.withColumn("place", F.row_number().over(best)).where("place = 1").where(F.col("target").isNull() | same)
-    return first.select("caller", "name", F.coalesce("target", F.concat(F.lit("external:"), "name")).alias("target"))
+    file before others, then by id. A name that no node has is external; one of other languages only gives no edge. Nodes are reduced to the
+    least of each name and place before they meet the calls, so a frequent name brings one row to each."""
+    asked = calls.select("caller", "file_path", "language", "name").distinct()
+    near = nodes.groupBy("name", "language", "file_path").agg(F.min("id").alias("near"))
+    far = nodes.groupBy("name", "language").agg(F.min("id").alias("far"))
+    known = nodes.where("name is not null").select("name", F.lit(True).alias("known")).distinct()
+    found = asked.join(near, ["name", "language", "file_path"], "left").join(far, ["name", "language"], "left").join(known, "name", "left")
+    found = found.withColumn("target", F.coalesce("near", "far")).where(F.col("target").isNotNull() | F.col("known").isNull())
+    # One target for a caller and name, whatever files and languages it is listed under.
+    best = F.struct(F.col("target").isNull().alias("none"), F.col("near").isNull().alias("elsewhere"), "target")
+    first = found.groupBy("caller", "name").agg(F.min(best).alias("best"))
+    return first.select("caller", "name", F.coalesce("best.target", F.concat(F.lit("external:"), "name")).alias("target"))
 
 
 def callers_of(calls: DataFrame, stop: Sequence[str] = ()) -> DataFrame:

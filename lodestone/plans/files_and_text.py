@@ -147,9 +147,9 @@ def k9(spark, sf):
 
 
 @query("k10_formatting", """
-select doc_id, case when n_chars < 1024 then n_chars || ' B' else format('{:.1f} KB', round(n_chars / 1024.0::double, 1)) end as size_text, case when length(text) <= 20 then text else text[1:17] || '...' end as short, regexp_replace(source || '/' || lang || '?', '[<>:"/\\\\|?*]', '_', 'g') as file_name from documents where n_chars < 1048576""")
+select doc_id, case when n_chars < 1024 then n_chars || ' B' when n_chars < 1048576 then format('{:.1f} KB', round(n_chars / 1024.0::double, 1)) else format('{:.1f} MB', round(n_chars / 1048576.0::double, 1)) end as size_text, case when length(text) <= 20 then text else text[1:17] || '...' end as short, regexp_replace(source || '/' || lang || '?', '[<>:"/\\\\|?*]', '_', 'g') as file_name from documents""")
 def k10(spark, sf):
-    d = table(spark, sf, "documents").where("n_chars < 1048576")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", text.size_text("n_chars").alias("size_text"), text.truncate("text", 20).alias("short"), text.safe_name(F.concat("source", F.lit("/"), "lang", F.lit("?"))).alias("file_name"))
 
 

@@ -172,21 +172,21 @@ def l17(spark, sf):
 
 
 def calls(spark, sf):
-    """The words of a document's first line as calls of functions."""
+    """The words of a document as calls of functions."""
     u = units(spark, sf)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.element_at(C.lines("code"), 1)), F.lit("[a-z]{2,}"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("code"), F.lit("[a-z]{2,}"), F.lit(0)))
     return u.select(F.col("symbol").alias("caller"), "file_path", "language", F.explode(words).alias("name"))
 
 
-CALLS_SQL = f"{UNITS_SQL}, calls as (select symbol as caller, file_path, language, unnest(list_distinct(regexp_extract_all(lower(string_split(code, chr(10))[1]), '[a-z]{{2,}}'))) as name from units)"
-_NAMED_SQL = "named as (select 'fn-' || doc_id as id, lower(regexp_extract(text, '[A-Za-z]{2,}')) as name, source || '/' || lang || '/doc' || doc_id || '.txt' as file_path, lang as language from documents where doc_id % 20 = 0)"
+CALLS_SQL = f"{UNITS_SQL}, calls as (select symbol as caller, file_path, language, unnest(list_distinct(regexp_extract_all(lower(code), '[a-z]{{2,}}'))) as name from units)"
+_NAMED_SQL = "named as (select 'fn-' || doc_id as id, lower(regexp_extract(text, '[A-Za-z]{2,}')) as name, source || '/' || lang || '/doc' || doc_id || '.txt' as file_path, lang as language from documents)"
 
 
 @query("g1_call_resolution", f"""with {CALLS_SQL}, {_NAMED_SQL},
 f as (select c.caller, c.name, n.id, n.language = c.language as same, row_number() over (partition by c.caller, c.name order by case when n.language = c.language then 0 else 1 end, case when n.file_path = c.file_path then 0 else 1 end, n.id nulls first) as k from calls c left join named n on c.name = n.name)
 select caller, name, coalesce(id, 'external:' || name) as target from f where k = 1 and (id is null or same)""")
 def g1(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 20 = 0")
+    d = table(spark, sf, "documents")
     named = d.select(F.concat(F.lit("fn-"), "doc_id").alias("id"), F.lower(F.regexp_extract("text", "[A-Za-z]{2,}", 0)).alias("name"), F.concat("source", F.lit("/"), "lang", F.lit("/doc"), "doc_id", F.lit(".txt")).alias("file_path"), F.col("lang").alias("language"))
     return G.resolve_calls(calls(spark, sf), named)
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import context_pack, tree
+from ..operators import context_pack, ignore_rules, tree
 from ..operators import taint as T
 from ..sources.journal import Journal
 from ..sources.scratch import shared_folder, stored
@@ -101,3 +101,33 @@ def h6_merge(spark, sf):
     latest = bounded.LatestTable(spark, f"{shared_folder(spark).rstrip('/')}/latest-{uuid.uuid4().hex}", "user_id", "event_id", buckets=16)
     latest.follow(stream)
     return latest.read(stream.schema)
+
+
+def tree_files(spark, sf):
+    """A file for each order, three folders deep, and a rule file for some folders."""
+    k = F.col("o_orderkey")
+    r, m = F.concat(F.lit("r"), F.col("o_custkey") % 5), F.concat(F.lit("m"), F.col("o_custkey") % 7)
+    suffix = F.element_at(F.array(*map(F.lit, (".py", ".pyc", ".log", ".go"))), (k % 4 + 1).cast("int"))
+    files = table(spark, sf, "orders").select(F.concat(r, F.lit("/"), m, F.lit("/d"), k % 11, F.lit("/f"), k, suffix).alias("path"), F.floor("o_totalprice").alias("length"))
+    folders = files.select(F.explode(F.array(F.lit(""), F.substring_index("path", "/", 1), F.substring_index("path", "/", 2))).alias("folder")).distinct()
+    text = (
+        F.when(F.col("folder") == "", "# top\nd3/\nr1/m2\n\n**/d5/f?.py")
+        .when(F.col("folder").rlike("^r[024]$"), "!*.pyc\n*.log\n/m4/d[0-2]/")
+        .when(F.col("folder").rlike("^r[0-4]/m3$"), "f*7.*\n!f*17.py\n!d3/")
+    )
+    return files, folders.select("folder", text.alias("content"))
+
+
+@query("a1_scan_with_rules", """
+with f as (select o_orderkey as k, o_custkey % 5 as r, o_custkey % 7 as m, o_orderkey % 11 as d, o_orderkey % 4 as s, floor(o_totalprice)::bigint as length from orders),
+p as (select *, 'r' || r || '/m' || m || '/d' || d || '/f' || k || (['.py', '.pyc', '.log', '.go'])[s + 1] as path from f),
+g as (select *, case
+  when r = 1 and m = 2 then true when d = 3 and m <> 3 then true when r % 2 = 0 and m = 4 and d <= 2 then true
+  when m = 3 and k % 10 = 7 then not (k % 100 = 17 and s = 0)
+  when r % 2 = 0 and s in (1, 2) then s = 2
+  when d = 5 and k < 10 and s = 0 then true
+  else s = 1 end as ignored from p)
+select path, length, case when ignored then 'ignored' when s not in (0, 1) then 'extension' when length / 1024.0::double > 150 then 'size' end as reason from g""")
+def a1_rules(spark, sf):
+    files, rule_files = tree_files(spark, sf)
+    return ignore_rules.scan(files, rule_files, (".py", ".pyc"), 150)
