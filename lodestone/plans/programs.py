@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import property_graph as P
-from ..operators import routes, taint
+from ..operators import routes, script_units, taint
 from .query import query, table
 
 #: Lines of an order in a total order; the numbers that a statement is made of.
@@ -221,3 +221,32 @@ def c10_routes(spark, sf):
     kinds = F.element_at(F.array(*map(F.lit, ("flask", "express", "nestjs", "spring", "django", "gin"))), (F.col("file_id") % 6 + 1).cast("int"))
     found = routes.routes(files.withColumn("framework", kinds))
     return found.select("file_id", "framework", "line", "path", F.array_join("methods", ",").alias("methods"), "handler", F.array_join("params", ",").alias("params"))
+
+
+# Script files: JavaScript for even orders, PHP functions or script blocks for odd ones.
+
+
+def script_files(spark, sf):
+    """file_id, path, content."""
+    o, t = F.col("o"), F.col("t") % 3
+    js = F.when(t == 0, F.format_string('function f%d(req, x) { s%d.run("}"); }', "k", "s")).when(t == 1, F.format_string("async function g%d(a) {\n  const q = '{';\n  go%d(q); // }\n}", "k", "s")).otherwise(F.format_string("const h%d = (res) => {\n  return call%d(1);\n};", "k", "s"))
+    php = F.when(o % 4 == 1, F.format_string("<?php t%d($_GET['x']); ?>", "k")).otherwise(F.format_string("public static function m%d($x) {\n  return x%d($x); # }\n}", "k", "s"))
+    rows = order_lines(spark, sf).select("o", "k", F.when(o % 2 == 0, js).otherwise(php).alias("x"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda r: r["x"]), "\n")
+    head = F.when(F.col("file_id") % 2 == 0, "").when(F.col("file_id") % 4 == 1, "<b>\n").otherwise("<?php\n")
+    path = F.concat(F.lit("web/o"), "file_id", F.when(F.col("file_id") % 2 == 0, ".js").otherwise(".php"))
+    return rows.groupBy(F.col("o").alias("file_id")).agg(body.alias("body")).select("file_id", path.alias("path"), F.concat(head, "body", F.lit("\n")).alias("content"))
+
+
+@query("c3_script_units", f"""with {LINES_SQL},
+w as (select *, t % 3 as u, case when o % 2 = 1 then case when o % 4 = 1 then 1 else 3 end else [1, 4, 3][t % 3 + 1] end as n from ls),
+r as (select *, (case when o % 2 = 0 then 1 else 2 end + coalesce(sum(n) over (partition by o order by k rows between unbounded preceding and 1 preceding), 0))::int as line from w)
+select o as file_id, (['f', 'g', 'h'])[u + 1] || k as symbol, case u when 0 then 'handler' else 'function' end as unit_type, line as start_line, (line + n - 1)::int as end_line,
+  case u when 0 then 'f' || k || ',run,s' || s || '.run' when 1 then 'g' || k || ',go' || s else 'call' || s end as calls from r where o % 2 = 0
+union all select o, 'm' || k, 'function', line, (line + 2)::int, 'm' || k || ',x' || s from r where o % 4 = 3
+union all select o, '<script:o' || o || '.php>', 'handler', 2::int, (1 + count(*))::int, array_to_string(list_sort(list('t' || k)), ',') from r where o % 4 = 1 group by o""")
+def c3_units(spark, sf):
+    files = script_files(spark, sf)
+    js = script_units.javascript_functions(files.where("path like '%.js'"))
+    php = script_units.php_units(files.where("path like '%.php'"))
+    return js.unionByName(php).select("file_id", "symbol", "unit_type", "start_line", "end_line", F.array_join("calls", ",").alias("calls"))
