@@ -211,3 +211,17 @@ def test_large_ids_beside_a_null_one_stay(spark, labels):
     scored = toxicity.toxicity(docs, toxicity.Model({"text": 8.0}, -5.0))
     for df in (judged, scored):
         assert sorted((r["doc_id"] for r in df.collect()), key=str) == sorted(ids, key=str)
+
+
+def test_a_frequent_id_is_one_row_of_the_sample(spark, monkeypatch):
+    """100,000 rows of one id: the driver gets one of them, and the sample still has other ids."""
+    from pyspark.sql import functions as F
+
+    seen = []
+    real = quality.IsolationForest
+    monkeypatch.setattr(quality, "IsolationForest", lambda features: seen.append(len(features)) or real(features))
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"w{k}"), F.col("id") % (k + 7)) for k in range(60)])
+    docs = spark.range(100_300).select(F.when(F.col("id") < 300, F.col("id")).otherwise(5).alias("doc_id"), words.alias("text"))
+    labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (7, 0, 1)], "doc_id long, quality int, toxic int")
+    quality.fit(docs, labels, sample_rows=40)
+    assert 40 <= seen[0] <= 42
