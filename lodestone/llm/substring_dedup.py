@@ -1,9 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences at .!? and line ends. Runs of consecutive sentences are hashed: from each sentence on,
-and up to each sentence, the least run of at least SENTENCES of them and MIN_WORDS words together (MIN_WORDS sentences at
-most), and also shorter runs that are long in words (SHORTER). Runs join globally on the
-hash; of each, the first place stays, and sentences that any other place covers are removed.
+Texts are cut into sentences at .!? and line ends. Every run of SENTENCES consecutive sentences is hashed, however few words
+it has, so every longer repeated run is covered by its own windows; and also shorter runs that are long in words (SHORTER).
+Runs join globally on the 128 bits of their hash; of each, the first place stays, and sentences that any other place covers
+are removed. Hashes that hold a large share of all runs are broadcast, so their places never meet in one task.
 
 Places are in the order of doc_id, hash of the text, sentence; null ids come first. A run's first place is a minimum by
 group, and one row for each repeated run joins the places back, so no group is ever gathered.
@@ -22,13 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table
+from .common import fresh, joined_by_key, stored, table, text_slices
 from .line_dedup import text_key
 
 SENTENCES = 3
-MIN_WORDS = 16
 #: Runs of fewer sentences that count as well, with the words they need.
 SHORTER = {1: 40, 2: 28}
+#: Texts gone through together have so many bytes at most, or are one text.
+SLICE_BYTES = 2_000_000
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 
 
@@ -37,61 +38,57 @@ def sentences(text: str) -> list[str]:
     return _SENTENCE.findall(text)
 
 
-def runs(text: str, sentences_per_run: int = SENTENCES, min_words: int = MIN_WORDS, shorter: dict[int, int] = SHORTER) -> list[tuple[int, int, int]]:
+def runs(text: str, sentences_per_run: int = SENTENCES, shorter: dict[int, int] = SHORTER) -> list[tuple[int, int, bytes]]:
     """first sentence, number of pieces, hash of every run that counts. Pieces without a word belong to the run around them."""
     full = []
     for i, s in enumerate(sentences(text)):
         words = s.lower().encode("utf-8", "surrogatepass").strip(b".!? \t\n\x0b\x0c\r").split()
         if words:
             full.append((i, len(words), b" ".join(words)))
-    # The runs that count, by first sentence: the least from each sentence on and the least up to each, so all of a longer run is covered.
-    sizes: list[set[int]] = [set() for _ in full]
-    for k in range(len(full)):
-        for step in (1, -1):
-            n = 0
-            for size, at in enumerate(range(k, len(full) if step > 0 else -1, step), 1):
-                n += full[at][1]
-                if step > 0 and size in shorter and n >= shorter[size]:
-                    sizes[k].add(size)
-                if size >= sentences_per_run and n >= min_words:
-                    sizes[min(k, at)].add(size)
-                    break
     out = []
-    for k, wanted in enumerate(sizes):
-        h = xxhash.xxh3_64()
-        for size, (i, _, s) in enumerate(full[k : k + max(wanted, default=0)], 1):
+    for k, (first, _, _) in enumerate(full):
+        h, n = xxhash.xxh3_128(), 0
+        for size, (i, words, s) in enumerate(full[k : k + sentences_per_run], 1):
+            n += words
             h.update(s)
             h.update(b"\n")
-            if size in wanted:
-                digest = h.intdigest()
-                out.append((full[k][0], i - full[k][0] + 1, digest - (1 << 64) if digest >> 63 else digest))
+            if size == sentences_per_run or size in shorter and n >= shorter[size]:
+                out.append((first, i - first + 1, h.digest()))
     return out
 
 
 def repeated_sentences(docs: DataFrame) -> DataFrame:
     """doc_id, key, gone: for each text that loses sentences, the numbers of their pieces."""
     rows = docs.where("text is not null").select(F.col("doc_id"), text_key().alias("key"), "text")
-    found = stored(rows.mapInArrow(_arrow_runs, "doc_id long, key long, first int, pieces int, hash long"))
+    found = stored(rows.mapInArrow(_arrow_runs, "doc_id long, key long, first int, pieces int, high long, low long"))
     place = F.struct("doc_id", "key", "first")
-    firsts = found.groupBy("hash").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest != latest").select("hash", "earliest")
-    later = found.join(firsts, "hash").where(place > F.col("earliest"))
+    per_run = found.groupBy("high", "low").agg(F.min(place).alias("earliest"), F.max(place).alias("latest"), F.count(F.lit(1)).alias("n"))
+    firsts = per_run.where("earliest != latest").select("high", "low", "n", "earliest")
+    later = joined_by_key(found, firsts, "high", "low").where(place > F.col("earliest"))
     pieces = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("pieces") - 1))
     return later.select("doc_id", "key", pieces.alias("piece")).groupBy("doc_id", "key").agg(F.collect_set("piece").alias("gone"))
 
 
 def _arrow_runs(batches):
+    import numpy as np
     import pyarrow as pa
 
     for batch in batches:
         ids, keys, texts = (batch.column(k) for k in range(3))
-        for at in range(0, len(ids), 500):
-            cols: tuple[list, ...] = ([], [], [], [], [])
-            for d, key, t in zip(ids[at : at + 500].to_pylist(), keys[at : at + 500].to_pylist(), texts[at : at + 500].to_pylist(), strict=True):
-                for first, pieces, h in runs(t):
-                    for c, v in zip(cols, (d, key, first, pieces, h), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "key", "first", "pieces", "hash"])
+        for a, b in text_slices(texts, SLICE_BYTES):
+            places, counts, firsts, sizes, hashes = [], [], [], [], []
+            for at, t in enumerate(texts[a:b].to_pylist(), a):
+                found = runs(t)
+                places.append(at)
+                counts.append(len(found))
+                for first, pieces, h in found:
+                    firsts.append(first)
+                    sizes.append(pieces)
+                    hashes.append(h)
+            rows = pa.array(np.repeat(np.array(places, np.int64), counts))
+            bits = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+            cols = [ids.take(rows), keys.take(rows), pa.array(firsts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "first", "pieces", "high", "low"])
 
 
 def _remover():

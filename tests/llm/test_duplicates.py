@@ -97,6 +97,52 @@ def test_a_passage_of_short_sentences_is_covered_whole(lengths):
     assert [n for _, n in got.values()] == [0, len(lengths)]
 
 
+def plain_sentence_dedup(rows):
+    """Windows compared as texts, without the module's sentences, runs or hashes."""
+    firsts, texts = {}, {}
+    for d, t in in_order(rows):
+        cut, piece = [], ""
+        for i, c in enumerate(t):
+            piece += c
+            if c in ".!?\n" and (i + 1 == len(t) or t[i + 1] not in ".!?\n"):
+                cut.append(piece)
+                piece = ""
+        texts[d, t] = cut + [piece] * bool(piece)
+        full = [(i, x) for i, x in ((i, " ".join(re.split(r"[ \t\n\x0b\x0c\r]+", x.lower().strip(".!? \t\n\x0b\x0c\r")))) for i, x in enumerate(texts[d, t])) if x]
+        for n in (1, 2, 3):
+            for k in range(len(full) - n + 1):
+                run = tuple(x for _, x in full[k : k + n])
+                if n == 3 or len(" ".join(run).split(" ")) >= {1: 40, 2: 28}[n]:
+                    firsts.setdefault(run, []).append((d, t, full[k][0], full[k + n - 1][0]))
+    gone = collections.defaultdict(set)
+    for places in firsts.values():
+        for d, t, a, b in places[1:]:
+            gone[d, t] |= set(range(a, b + 1))
+    return {k: ("".join(x for i, x in enumerate(v) if i not in gone[k]), len(gone[k])) for k, v in texts.items()}
+
+
+def test_sentence_runs_against_an_independent_brute_force(spark):
+    random.seed(11)
+    said = ["Yes.", "No!", "And then?", "so it\n", "  go on.. ", "one two three four. ", " ".join(f"l{i}" for i in range(41)) + ".", " ".join(f"m{i}" for i in range(20)) + "!\n"]
+    texts = ["".join(random.choice(said) if random.random() < 0.7 else f"own{i}x{k}. " for k in range(random.randrange(12))) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = plain_sentence_dedup(docs.collect())
+    got = substring_dedup.substring_dedup(docs).collect()
+    assert {(r["doc_id"], texts[r["doc_id"]]): (r["text"], r["n_removed"]) for r in got} == want
+    assert sum(n > 0 for _, n in want.values()) > 50
+
+
+def test_three_short_sentences_go_where_they_repeat(spark):
+    docs = spark.createDataFrame([(i, f"own{i} begin. It is so. We all know. Nine words end it. own{i} end.") for i in range(6)], "doc_id long, text string")
+    got = [r["n_removed"] for r in substring_dedup.substring_dedup(docs).orderBy("doc_id").collect()]
+    assert got == [0, 3, 3, 3, 3, 3]
+
+
+def test_one_run_in_most_documents(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('a b c.\n', 'd e f.\n', 'g h i.\n', 'own', id, '.') as text")
+    assert substring_dedup.substring_dedup(docs).where("n_removed = 3").count() == 19_999
+
+
 def shingles(text, size):
     words = (text or "").encode().translate(ngram_join._LOWER).split()
     return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
