@@ -63,7 +63,10 @@ def j17(spark, sf):
     return A.last_n(table(spark, sf, "conversations"), "conv_id", "turn", 3).select("conv_id", "turn", "role")
 
 
-@query("k13_priority_packing", None)
+@query("k13_priority_packing", """with recursive o as materialized (select conv_id, turn::bigint as id, length(text) // 3 as tokens, row_number() over (partition by conv_id order by case role when 'system' then 0 when 'user' then 1 else 2 end, turn, length(text) // 3) as k from conversations),
+w(conv_id, k, used, id, taken) as (select distinct conv_id, 0::bigint, 0::bigint, null::bigint, false from o
+  union all select o.conv_id, o.k, case when used + tokens <= 400 then used + tokens else used end, o.id, used + tokens <= 400 from w join o on o.conv_id = w.conv_id and o.k = w.k + 1)
+select conv_id, final as used, id from (select *, max(used) over (partition by conv_id) as final from w) where taken""")
 def k13(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2).alias("priority"), F.col("turn").alias("id"), C.tokens_third("text").alias("tokens"))
     return A.pack_by_priority(c, "conv_id", 400)
