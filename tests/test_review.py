@@ -89,3 +89,20 @@ def test_flows_of_one_program(spark):
     code = "def f(request):\n    v1 = request.args\n    v2 = v1 + limit\n    log(v2)\n    eval(v2)\n    v0 = escape(v2)\n    os.system(v0)\n"
     got = [tuple(r) for r in parsing.taint_units(spark.createDataFrame([(1, code)], "file_id long, content string")).collect()]
     assert got == [(1, 2, 5, "v2", "eval", True, 0.4), (1, 2, 7, "v0", "system", True, 0.4)]
+
+
+def test_oversized_files_are_cut_without_loss(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    texts = {r["file_id"]: r["content"] or "" for r in docs.collect()}
+    parts = {}
+    for r in parsing.split_oversized(docs, 300).orderBy("file_id", "part").collect():
+        parts.setdefault(r["file_id"], []).append(r)
+    assert set(parts) == set(texts)
+    for i, of in parts.items():
+        lines = texts[i].split("\n")
+        assert [p["part"] for p in of] == list(range(len(of)))
+        assert [p["start_line"] for p in of] == [1] + [p["end_line"] + 1 for p in of[:-1]] and of[-1]["end_line"] == len(lines)
+        for p in of:
+            own = lines[p["start_line"] - 1 : p["end_line"]]
+            assert p["chunk"] == ("# Context: context\n" if p["part"] else "") + "\n".join(own)
+            assert len(own) == 1 or len("\n".join(own)) + 1 <= 1000
