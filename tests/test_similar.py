@@ -1,9 +1,15 @@
 """All pairs above a cosine against all pairs, and how many of them are multiplied in full."""
 
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from lodestone.operators import similar
+from lodestone.functions import columns as C
+from lodestone.operators import search, similar
 
 
 def brute(x, least):
@@ -52,3 +58,36 @@ def test_odd_vectors(spark):
     got = sorted(tuple(r) for r in similar.similar_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9).collect())
     assert got == [(1, 2, 1.0), (1, 2, 1.0), (7, 8, 1.0)]
     assert similar.similar_pairs(spark.createDataFrame([], "vec_id long, embedding array<double>"), 0.9).count() == 0
+
+
+@pytest.mark.parametrize("k, least, positive", [(3, None, False), (40, 0.1, False), (200, None, False), (4, None, True)])
+def test_nearest_in_blocks_as_by_hand(spark, monkeypatch, k, least, positive):
+    monkeypatch.setattr(search, "BLOCK", 30)
+    monkeypatch.setattr(search, "CHUNK", 9)
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        v = [1.0, 2.0, 0.0, 1.0] if i % 4 == 0 else [float(rng.randint(-2, 3)) for _ in range(4)]
+        rows.append((i, None if i == 7 else v[:3] if i == 8 else [*v[:3], None] if i == 9 else [0.0] * 4 if i == 11 else v))
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = e.where("vec_id % 5 = 2 or vec_id in (8, 9, 20)").withColumnsRenamed({"vec_id": "query_id", "embedding": "q"})
+    found = search.vector_top_k(e, asked, k, least, positive=positive)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect())
+    # Pair by pair, as built-in functions have it.
+    pairs = e.crossJoin(asked).where("vec_id <> query_id").withColumn("product", C.dot("embedding", "q")).withColumn("score", F.round(C.cosine("embedding", "q"), 6))
+    pairs = pairs.where("product > 0") if positive else pairs
+    pairs = pairs if least is None else pairs.where(F.col("score") >= least)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    want = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in pairs.withColumn("rank", rank).where(F.col("rank") <= k).collect())
+    assert got == want and got
+
+
+def test_nearest_scores_leave_a_block_few_to_a_query():
+    n, k = 2000, 5
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(n, 8))
+    vectors[::2] = vectors[0]  # one vector many times
+    store = pa.table({"vec_id": np.arange(n), "embedding": vectors.tolist()})
+    asked = pa.table({"query_id": np.arange(0, n, 20), "q": vectors[::20].tolist()})
+    i, j, _, _ = search._best_of_block(store, asked, k, None, 1e-10, False)
+    assert len(i) == k * asked.num_rows and np.bincount(j).max() == k
