@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import incremental as inc
 from ..operators import search, similar
+from ..sources.scratch import stored
 from .query import PAGES_SQL, SITES_SQL, UNITS_SQL, pages, query, sites, table, units
 
 _COS = "list_sum([p[1]::double * p[2]::double for p in list_zip({a}, {b})]) / (sqrt(list_sum([x::double * x::double for x in {a}])) * sqrt(list_sum([x::double * x::double for x in {b}])) + 1e-10)"
@@ -347,9 +348,10 @@ j as (select query_id as pattern_id, vec_id as doc_id, score, len(list_intersect
 select pattern_id, doc_id, round(0.6::double * score + 0.4::double * words, 6) as score from j where round(0.6::double * score + 0.4::double * words, 6) >= 0.3""")
 def j14(spark, sf):
     # Vectors choose the candidates; the texts' words, numbers made alike, are compared for those pairs alone.
-    near = _nearest(spark, sf, 20, least=0.4).select(F.col("query_id").alias("pattern_id"), F.col("vec_id").alias("doc_id"), "score")
+    near = stored(_nearest(spark, sf, 20, least=0.4).select(F.col("query_id").alias("pattern_id"), F.col("vec_id").alias("doc_id"), "score"))
     words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("text"), "[0-9]+", "num"), " "), lambda w: w != ""))
-    s = table(spark, sf, "documents").select("doc_id", words.alias("ws"))
+    named = near.select(F.explode(F.array("pattern_id", "doc_id")).alias("doc_id")).distinct()
+    s = table(spark, sf, "documents").select("doc_id", "text").join(stored(named), "doc_id", "left_semi").select("doc_id", words.alias("ws"))
     pairs = near.join(s, "doc_id").join(s.select(F.col("doc_id").alias("pattern_id"), F.col("ws").alias("qs")), "pattern_id")
     score = F.round(F.lit(0.6) * F.col("score") + F.lit(0.4) * C.jaccard("qs", "ws"), 6)
     return pairs.select("pattern_id", "doc_id", score.alias("score")).where("score >= 0.3")
