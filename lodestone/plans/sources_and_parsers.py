@@ -12,6 +12,7 @@ from ..operators import graph as G
 from ..operators import incremental as inc
 from ..operators import parsing, query_language, rules, search, text
 from ..sources import readers
+from ..sources.scratch import stored
 from ..streaming import streams
 from . import graphs
 from .query import SITES_SQL, UNITS_SQL, query, sites, table, units
@@ -191,13 +192,21 @@ def j7(spark, sf):
 
 @query("j15_structure_similarity", None)
 def j15(spark, sf):
-    counts = sites(spark, sf).groupBy("unit_id", "category").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    norms = counts.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    asked = counts.where("unit_id % 20 = 0").select(F.col("unit_id").alias("query_id"), "category", F.col("n").alias("m"))
-    dots = counts.join(asked, "category").where("unit_id <> query_id").groupBy("query_id", "unit_id").agg(F.sum(F.col("n") * F.col("m")).alias("d"))
-    scored = dots.join(norms, "unit_id").join(norms.select(F.col("unit_id").alias("query_id"), F.col("norm").alias("q")), "query_id")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
-    return scored.withColumn("score", F.round(F.col("d") / (F.col("norm") * F.col("q")), 6)).withColumn("rank", F.row_number().over(best)).where("rank <= 10").select("query_id", "unit_id", "score", "rank")
+    return similar_units(sites(spark, sf), F.col("unit_id") % 20 == 0)
+
+
+def similar_units(found, asked, k=10):
+    """query_id, unit_id, score, rank: the k units nearest to each asked one by how many of found(unit_id, category) they have of each category;
+    units without a category in common don't meet. A vector has a place for each category; nulls equal nothing, so they count in the
+    length of a vector alone, at a place of the units and another of the queries."""
+    kinds = [r["category"] for r in found.where("category is not null").select("category").distinct().orderBy("category").collect()]
+    n = [*(F.count_if(F.col("category") == c).cast("double") for c in kinds), F.count_if(F.col("category").isNull()).cast("double")]
+    counts = stored(found.where("unit_id is not null").groupBy("unit_id").agg(F.array(*n).alias("n")))
+    alone, none = F.slice("n", len(kinds) + 1, 1), F.array(F.lit(0.0))
+    place = lambda *rest: F.concat(F.slice("n", 1, len(kinds)), *rest)
+    store = counts.select(F.col("unit_id").alias("vec_id"), place(alone, none).alias("embedding"))
+    queries = counts.where(asked).select(F.col("unit_id").alias("query_id"), place(none, alone).alias("q"))
+    return search.vector_top_k(store, queries, k, smooth=0.0, positive=True).select("query_id", F.col("vec_id").alias("unit_id"), "score", "rank")
 
 
 @query("o2_callback_matcher", "select c_custkey, c_custkey % 7 = 0 as matched from customer")

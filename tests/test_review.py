@@ -4,6 +4,7 @@ import math
 import random
 
 from lodestone.operators import parsing, review
+from lodestone.plans.sources_and_parsers import similar_units
 from pyspark.sql import functions as F
 
 
@@ -106,3 +107,24 @@ def test_oversized_files_are_cut_without_loss(spark, sf_dir):
             own = lines[p["start_line"] - 1 : p["end_line"]]
             assert p["chunk"] == ("# Context: context\n" if p["part"] else "") + "\n".join(own)
             assert len(own) == 1 or len("\n".join(own)) + 1 <= 1000
+
+
+def test_units_by_their_categories(spark):
+    rng = random.Random(6)
+    kinds = ["a", "b", "c", None]
+    found = [(u, rng.choice(kinds)) for u in range(60) for _ in range(rng.randint(1, 9))] + [(100, None), (120, None), (None, "a")]
+    counts = {}
+    for u, c in found:
+        if u is not None:
+            counts.setdefault(u, {}).setdefault(c, 0)
+            counts[u][c] += 1
+    norm = {u: math.sqrt(sum(n * n for n in c.values())) for u, c in counts.items()}
+    want = []
+    for q in (u for u in counts if u % 20 == 0):
+        dots = {u: sum(n * counts[q].get(c, 0) for c, n in counts[u].items() if c is not None) for u in counts if u != q}
+        best = sorted((-round(d / (norm[u] * norm[q]), 6), u) for u, d in dots.items() if d)[:4]
+        want += [(q, u, -s, i + 1) for i, (s, u) in enumerate(best)]
+    got = similar_units(spark.createDataFrame(found, "unit_id long, category string"), F.col("unit_id") % 20 == 0, 4)
+    assert sorted(map(tuple, got.select("query_id", "unit_id", "score", "rank").collect())) == sorted(want)
+    # Pairs were once made by a join on the category, one row for each pair of units and category.
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
