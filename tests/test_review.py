@@ -92,6 +92,12 @@ def test_flows_of_one_program(spark):
     assert got == [(1, 2, 5, "v2", "eval", True, 0.4), (1, 2, 7, "v0", "system", True, 0.4)]
 
 
+def test_flows_over_many_lines(spark):
+    code = "v1 = request.args\n" + "log(1)\n" * 14 + "eval(v1)\n"
+    got = [tuple(r) for r in parsing.taint_units(spark.createDataFrame([(1, code)], "file_id long, content string")).collect()]
+    assert got == [(1, 1, 16, "v1", "eval", False, 0.8)]
+
+
 def test_oversized_files_are_cut_without_loss(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
     texts = {r["file_id"]: r["content"] or "" for r in docs.collect()}
