@@ -34,7 +34,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     edges = edges.select("src", "dst").distinct()
     seen = front = stored(starts.select("id", F.lit(0).alias("depth")).distinct())
     for d in range(1, max_depth + 1):
-        new = front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        new = front.join(edges.hint("merge"), F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen.select("id").hint("merge"), "id", "left_anti")
         front = stored(new.withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break

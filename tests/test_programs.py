@@ -1,5 +1,6 @@
 """Property graphs, typed paths, and taint from arguments to parameters, on small programs."""
 
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,18 @@ def test_cross_function_sinks(units):
     rows = taint.cross_function_sinks(units, taint.request_parameters(units), (("execute", "sql", "high"), ("system", "command", "critical")), "quote").collect()
     got = {(r["unit_id"], r["name"], r["sink"]): (r["sanitized"], r["risk_level"], r["confidence"]) for r in rows}
     assert got == {(3, "a", "execute"): (True, "low", 0.285), (3, "c", "execute"): (True, "low", 0.285), (2, "rest", "system"): (False, "critical", 0.95)}
+
+
+def test_paths_within_parts_as_by_joins(spark):
+    rng = random.Random(2)
+    edges = [(p, p * 100 + rng.randrange(9), p * 100 + rng.randrange(9), rng.choice("abc")) for p in range(4) for _ in range(24)]
+    g = spark.createDataFrame(edges, "part long, src long, dst long, kind string")
+    ids = lambda ks: spark.createDataFrame([(p, p * 100 + k) for p in range(4) for k in ks], "part long, id long")
+    for kinds, nodes, most in ((("a", "b"), 4, 10), (None, 3, 2), (("c",), 10, 10)):
+        by = {w: sorted(map(tuple, P.typed_paths(g, ids((0, 1, 5)), ids((1, 7)), kinds, nodes, most, with_end=True, within=w).collect())) for w in (None, "part")}
+        assert by["part"] == by[None] and by[None]
+
+
+def test_nodes_are_not_broadcast(spark):
+    nodes = P.graph_nodes(spark.createDataFrame([(1, "def f(a):\n    return a\n")], "file_id long, content string"))
+    assert "BroadcastExchange" not in P.control_edges(nodes)._jdf.queryExecution().executedPlan().toString()
