@@ -134,3 +134,8 @@ def test_units_by_their_categories(spark):
     assert sorted(map(tuple, got.select("query_id", "unit_id", "score", "rank").collect())) == sorted(want)
     # Pairs were once made by a join on the category, one row for each pair of units and category.
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_depths_are_not_broadcast(spark):
+    nodes = spark.createDataFrame([(1, 0, None, "function"), (1, 1, 0, "if")], "file_id long, node_id int, parent_id int, node_type string")
+    assert "BroadcastExchange" not in review.structure_features(nodes, ("function",))._jdf.queryExecution().executedPlan().toString()
