@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 #: Letters of a key of a part; longer ones select no better among short names.
 ANCHOR = 4
 #: Expressions without a key are broadcast up to so many; beyond, Spark chooses.
@@ -32,6 +34,37 @@ def _beginning(pattern: str | None) -> str | None:
     return plain[:-1] if pattern[len(plain) :][:1] in ("*", "?", "{", "+") else plain
 
 
+def _runs(pattern: str | None) -> list[str]:
+    """Plain texts that every match of an expression holds, as far as they are sure: none with branches, groups or escaped letters."""
+    if _beginning(pattern) is None or re.search(r"[|(]|\\[A-Za-z0-9]|\[[^\]]*\[", pattern):
+        return []
+    left = re.sub(r"\[\^?\]?[^\]]*\]", "\0", re.sub(r"\\.", "\0", pattern))
+    left = re.sub(r".(?:[*?]|\{[^}]*\})[+?]?", "\0", left)
+    return re.findall(r"[A-Za-z0-9_#@:/ -]+", re.sub(r"\+[+?]?", "\0", left))
+
+
+def _grams(pattern: str | None) -> list[str]:
+    """The parts of ANCHOR letters of these texts, whole texts where they are shorter."""
+    return sorted({r[i : i + ANCHOR] for r in _runs(pattern) for i in range(max(1, len(r) - ANCHOR + 1))})
+
+
+def _rarest(wanted: DataFrame, distinct: DataFrame) -> DataFrame:
+    """wanted with where, the side on which a name has its key. An expression's key becomes the part that the fewest names hold among those that
+    its matches must hold: its beginning may be that of all names."""
+    where = F.when(F.col("kind") == "exact", "whole").when(F.col("kind").isin("prefix", "regex"), "start").when(F.col("kind") == "suffix", "end").otherwise("part")
+    grams = F.pandas_udf(lambda b: b.map(_grams), "array<string>")
+    held = wanted.where("kind = 'regex'").select("text").distinct().select("text", F.explode(grams("text")).alias("gram"))
+    size = F.char_length("_name")
+    sizes = F.sequence(F.lit(1), F.least(F.lit(ANCHOR), size))
+    parts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("_name"), i, n))))
+    named = distinct.select("_name").distinct().where(size > 0).select(F.explode(F.array_distinct(parts)).alias("gram"))
+    often = named.join(held.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    best = held.join(often, "gram", "left").groupBy("text").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    chosen = wanted.where("kind = 'regex'").join(best, "text", "left")
+    chosen = chosen.withColumn("where", F.when(F.col("gram").isNotNull(), "part").otherwise("start")).withColumn("key", F.coalesce("gram", "key"))
+    return wanted.where("kind <> 'regex'").withColumn("where", where).unionByName(chosen.drop("gram"))
+
+
 def _literal(pattern: str) -> Column:
     def begin(batch: pd.Series) -> pd.Series:
         return batch.map(_beginning)
@@ -61,7 +94,8 @@ def lookup(names: DataFrame, name: str, index: DataFrame, by: tuple[str, ...] =
     by: further columns that must be equal on both sides, such as a language. A name that is null matches nothing."""
     wanted = index.select("rule_id", "kind", "text", "key", *by).distinct()
     distinct = names.where(F.col(name).isNotNull()).select(F.col(name).alias("_name"), *by).distinct()
-    sizes = wanted.where("key <> ''").groupBy(F.when(F.col("kind").isin("exact", "prefix", "regex"), "start").when(F.col("kind") == "suffix", "end").otherwise("part").alias("where")).agg(F.collect_set(F.when(F.col("kind") == "exact", F.lit(-1)).otherwise(F.char_length("key"))).alias("sizes"))
+    wanted = stored(_rarest(wanted, distinct))
+    sizes = wanted.where("key <> ''").groupBy(F.when(F.col("where") == "whole", "start").otherwise(F.col("where")).alias("where")).agg(F.collect_set(F.when(F.col("kind") == "exact", F.lit(-1)).otherwise(F.char_length("key"))).alias("sizes"))
     sizes = {r["where"]: sorted(r["sizes"]) for r in sizes.collect()}  # the lengths that keys have: no more than the longest pattern has letters
 
     size = F.char_length("_name")
@@ -73,8 +107,7 @@ def lookup(names: DataFrame, name: str, index: DataFrame, by: tuple[str, ...] =
     end = F.transform(fit("end"), lambda n: F.struct(F.lit("end").alias("where"), part(size - n + 1, n).alias("key")))
     inner = F.flatten(F.transform(fit("part"), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.struct(F.lit("part").alias("where"), part(i, n).alias("key")))))
     probes = distinct.select("*", F.explode(F.array_distinct(F.concat(whole, start, end, inner))).alias("p")).select("_name", *by, "p.where", "p.key")
-    where = F.when(F.col("kind") == "exact", "whole").when(F.col("kind").isin("prefix", "regex"), "start").when(F.col("kind") == "suffix", "end").otherwise("part")
-    keyed = wanted.where("key <> ''").withColumn("where", where)
+    keyed = wanted.where("key <> ''")
     found = probes.join(keyed, ["where", "key", *by]).select("_name", *by, "rule_id", "kind", "text")
     bare = wanted.where("key = ''").select("rule_id", "kind", "text", *by)
     n = bare.count()

@@ -90,3 +90,15 @@ def test_empty_ranges(spark):
     assert intervals.hybrid_merge(none).count() == 0 and intervals.overlapping_pairs(none, "seq").count() == 0
     odd = spark.createDataFrame([(1, None, 1, 2, 0.1, "x"), (2, "a", None, 3, 0.1, "x")], none.schema)
     assert [r["run"] for r in intervals.overlap_runs(odd).collect()] == [None, None] and intervals.hybrid_merge(odd).count() == 0
+
+
+def test_expressions_are_found_by_their_rarest_part(spark):
+    assert rule_index._runs("Customer#0+12[0-4]?34x*y+z{2}$") == ["Customer#0", "12", "34", "y"]
+    assert rule_index._runs(r"a\d1") == rule_index._runs("a|b") == rule_index._runs("(ab)?c") == []
+    names = spark.createDataFrame([(i, f"Name#{i:06d}") for i in range(300)], "i int, name string")
+    rules = spark.createDataFrame([(f"R{k}", f"regex:Name#0+{k}[0-4]?$") for k in range(1, 300)], "rule_id string, pattern string")
+    index = rule_index.rule_index(rules)
+    got = {(r["i"], int(r["rule_id"][1:])) for r in rule_index.lookup(names, "name", index).collect()}
+    assert got == {(i, k) for i in range(300) for k in range(1, 300) if i == k or (i // 10 == k and i % 10 < 5)}
+    keys = rule_index._rarest(index.select("rule_id", "kind", "text", "key"), names.select(F.col("name").alias("_name")))
+    assert keys.where("where = 'start'").count() == 0  # all names begin alike
