@@ -225,3 +225,25 @@ def test_a_frequent_id_is_one_row_of_the_sample(spark, monkeypatch):
     labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (7, 0, 1)], "doc_id long, quality int, toxic int")
     quality.fit(docs, labels, sample_rows=40)
     assert 40 <= seen[0] <= 42
+
+
+def test_leaves_and_threshold_are_counted_over_all_rows(spark):
+    """200 unlabelled and 400 labelled documents, of which 20 and 20 are drawn for the splits: the leaves and the threshold know all."""
+    from pyspark.sql import functions as F
+
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"w{k}"), F.when(F.col("id") % 5 == 0, F.lit("###" * (k % 3))).otherwise(""), F.col("id") % (k + 7)) for k in range(60)])
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), words.alias("text"))
+    labels = spark.range(200, 600).select(F.col("id").alias("doc_id"), (F.col("id") % 5 != 0).cast("int").alias("quality"))
+    forest, cut = quality.fit(docs, labels, sample_rows=20)
+    rows = quality.measured(docs).toPandas()
+    features = np.array(rows["features"].tolist())
+    assert not rows["base_failed"].any() and forest.psi <= 40
+    leaf = np.array([[forest._reached(features[i : i + 1], t)[0] for i in range(600)] for t in range(5)])
+    for t in range(5):
+        at, n = np.unique(leaf[t], return_counts=True)
+        assert forest.path[t, at] == pytest.approx(forest.ends[t, at] + quality.mean_path(n / 600 * forest.psi))
+    scores = np.round(forest.score(features), quality.SCORE_DIGITS)
+    known = (rows["doc_id"] >= 200).to_numpy()
+    assert cut == quality.threshold(scores[known], (rows["doc_id"] % 5 != 0).to_numpy()[known])
+    kept = {r["doc_id"] for r in quality.quality_rules(docs, forest, cut).where("kept").collect()}
+    assert kept == set(rows["doc_id"][scores < cut])
