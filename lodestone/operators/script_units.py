@@ -1,13 +1,16 @@
 """Functions of JavaScript and PHP files by matching braces, without a parser.
 
-One expression cuts a text into tokens that make it up: strings and comments are whole tokens, so braces in them don't count. Depth, lines and
-places are running sums over a file's tokens. Of one level, opening and closing braces alternate, so the brace that closes another is
-the next of its level.
+One expression cuts a text into tokens that make it up: strings and comments are whole tokens, so braces in them don't count. A file's tokens are
+gone through once, in its own row: they are neither rows nor shuffled, and a file gives a row for each function only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Strings (with escapes), comments, and an unfinished one of either up to the end.
@@ -29,47 +32,63 @@ def _count(text: Column | str, part: str) -> Column:
     return F.char_length(t) - F.char_length(F.replace(t, F.lit(part), F.lit("")))
 
 
-def tokens(files: DataFrame, heads: str, comment: str = "") -> DataFrame:
-    """file_id, seq, token, start (characters before it), line (from 1), depth (open braces before it) of files(file_id, content). heads: an
-    expression of tokens that are kept whole where a word begins."""
+FOUND = "file_id long, path string, content string, units array<struct<symbol string, arguments string, kind string, start_line int, end_line int, code string>>"
+
+
+def token_expression(heads: list[tuple[str, str]], comment: str = "") -> re.Pattern:
+    """Tokens that make up a text. heads (kind, expression): tokens that are kept whole where a word begins, in a group of their kind."""
     rest = "" if not comment else f"|{comment}"
-    whole = f"(?s)(?:{_QUOTED}{rest}|(?:{heads})|[{{}}]|[\\w$]+|[^\"'`/{{}}\\w$#]++|.)"
-    cut = files.where("content is not null").select("file_id", F.posexplode(F.regexp_extract_all("content", F.lit(whole), F.lit(0))).alias("seq", "token"))
-    before = Window.partitionBy("file_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    run = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    turn = F.when(F.col("token") == "{", 1).when(F.col("token") == "}", -1).otherwise(0)
-    return cut.select("file_id", "seq", "token", run(F.char_length("token")).alias("start"), (run(_count("token", "\n")) + 1).alias("line"), run(turn).alias("depth"))
-
-
-def _units(files: DataFrame, heads: list[tuple[str, str]], comment: str = "") -> DataFrame:
-    """file_id, symbol, arguments, kind, start_line, end_line, code of the functions that heads (kind, expression) begin."""
-    rows = tokens(files, "|".join(p for _, p in heads), comment)
-    # Of one level, an opening brace and the next closing one belong together.
-    level = Window.partitionBy("file_id", F.when(F.col("token") == "{", F.col("depth")).otherwise(F.col("depth") - 1)).orderBy("seq")
-    braces = rows.where("token in ('{', '}')")
-    pairs = braces.select("file_id", "seq", "token", *(F.lead(c).over(level).alias(f"close_{c}") for c in ("token", "start", "line"))).where("token = '{'")
-    closed = F.col("close_token") == "}"
-    pairs = pairs.select("file_id", F.col("seq").alias("open"), F.when(closed, F.col("close_start")).alias("close_start"), F.when(closed, F.col("close_line")).alias("close_line"))
-    # What comes next, as the last before in reverse order: a frame that grows is gone through once.
-    after = Window.partitionBy("file_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    first = lambda when, c: F.last(F.when(when, F.col(c)), ignorenulls=True).over(after)
-    told = rows.withColumn("open", first(F.col("token") == "{", "seq")).withColumn("next", first(F.btrim("token", F.lit(" \t\r\n\f\x0b")) != "", "token"))
-    kind = F.lit(None).cast("string")
-    symbol = arguments = F.lit(None).cast("string")
-    for name, pattern in reversed(heads):
-        hit = F.col("token").rlike(f"^{pattern}$")
-        kind, symbol, arguments = F.when(hit, name).otherwise(kind), F.when(hit, F.regexp_extract("token", pattern, 1)).otherwise(symbol), F.when(hit, F.regexp_extract("token", pattern, 2)).otherwise(arguments)
-    found = told.withColumns({"kind": kind, "symbol": symbol, "arguments": arguments}).where("kind is not null")
-    # An arrow without braces ends where it begins; a head that no brace follows is no function.
-    bare = (F.col("kind") == "arrow") & (F.coalesce("next", F.lit("")) != "{")
-    found = found.withColumn("bare", bare).where(F.col("bare") | F.col("open").isNotNull()).withColumn("open", F.when(~F.col("bare"), F.col("open")))
-    whole = files.select("file_id", "content", (_count("content", "\n") + 1).alias("lines"))
-    units = found.join(pairs, ["file_id", "open"], "left").join(whole, "file_id")
-    head_line = F.col("line") + _count("token", "\n")
-    end = F.when(F.col("bare"), head_line).otherwise(F.coalesce("close_line", "lines"))
-    stop = F.when(F.col("bare"), F.col("start") + F.char_length("token")).otherwise(F.coalesce(F.col("close_start") + 1, F.char_length("content")))
-    code = F.col("content").substr((F.col("start") + 1).cast("int"), (stop - F.col("start")).cast("int"))
-    return units.select("file_id", "symbol", "arguments", "kind", F.col("line").cast("int").alias("start_line"), end.cast("int").alias("end_line"), code.alias("code"))
+    of = "|".join(f"(?P<{kind}>{p})" for kind, p in heads)
+    return re.compile(rf"(?s:{_QUOTED}{rest}|(?:{of})|[{{}}]|[\w$]+|[^\"'`/{{}}\w$#]++|.)".replace(r"\z", r"\Z"), re.ASCII)
+
+
+def functions_of(content: str, tokens: re.Pattern, heads: list[tuple[str, str]]) -> list[tuple]:
+    """symbol, arguments, kind, start_line, end_line, code of the functions that heads begin, in order."""
+    out, line, opened, waiting, last = [], 1, [], [], None
+    closes: dict[int, tuple[int, int]] = {}  # of an opening brace: the place and line of the one that closes it
+    for m in tokens.finditer(content):
+        token, start = m[0], m.start()
+        if last is not None and token.strip(" \t\r\n\f\v"):
+            last["next"], last = token, None
+        if token == "{":
+            for w in waiting:
+                w["open"] = start
+            waiting = []
+            opened.append(start)
+        elif token == "}" and opened:
+            closes[opened.pop()] = (start, line)
+        elif m.lastgroup is not None:
+            last = {"kind": m.lastgroup, "token": token, "start": start, "line": line, "open": None, "next": ""}
+            waiting.append(last)
+            out.append(last)
+        line += token.count("\n")
+    return [u for f in out if (u := _function(content, f, closes, line, dict(heads)[f["kind"]]))]
+
+
+def _function(content: str, f: dict, closes: dict, lines: int, pattern: str) -> tuple | None:
+    """An arrow without braces ends where it begins; a head that no brace follows is no function; what isn't closed goes on to the end."""
+    symbol, arguments = re.fullmatch(pattern, f["token"], re.ASCII).groups()
+    if f["kind"] == "arrow" and f["next"] != "{":
+        stop, end = f["start"] + len(f["token"]), f["line"] + f["token"].count("\n")
+    elif f["open"] is None:
+        return None
+    else:
+        stop, end = closes.get(f["open"], (len(content) - 1, lines))
+        stop += 1
+    return symbol, arguments, f["kind"], f["line"], end, content[f["start"] : stop]
+
+
+def _found(files: DataFrame, heads: list[tuple[str, str]], comment: str = "") -> DataFrame:
+    """files(file_id, path, content) with their units, the functions that heads (kind, expression) begin."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = token_expression(heads, comment)
+        names = ("symbol", "arguments", "kind", "start_line", "end_line", "code")
+        for rows in batches:
+            yield rows.assign(units=[[dict(zip(names, u, strict=True)) for u in functions_of(t, tokens, heads)] for t in rows["content"]])
+
+    path = F.col("path") if "path" in files.columns else F.lit(None).cast("string").alias("path")
+    return files.where("content is not null").select("file_id", path, "content").mapInPandas(find, FOUND)
 
 
 def called_names(code: str | Column) -> Column:
@@ -82,7 +101,7 @@ def called_names(code: str | Column) -> Column:
 def javascript_functions(files: DataFrame) -> DataFrame:
     """file_id, symbol, unit_type, start_line, end_line, calls, code: named functions, handlers where an argument names a request or response, and arrow
     functions, which are never handlers."""
-    units = _units(files, [("named", NAMED), ("arrow", ARROW)])
+    units = _found(files, [("named", NAMED), ("arrow", ARROW)]).select("file_id", F.inline("units"))
     handler = (F.col("kind") == "named") & F.col("arguments").rlike(rf"\b(?:{REQUEST_WORDS})")
     return units.select("file_id", "symbol", F.when(handler, "handler").otherwise("function").alias("unit_type"), "start_line", "end_line", called_names("code").alias("calls"), "code")
 
@@ -90,17 +109,20 @@ def javascript_functions(files: DataFrame) -> DataFrame:
 def php_units(files: DataFrame) -> DataFrame:
     """The same of PHP files(file_id, path, content): functions, or for a file without any and without a class the unit <script:file> of all its
     blocks, a handler if it reads its user's input."""
-    units = _units(files, [("named", PHP_FUNCTION)], r"\#[^\n]*+")
-    functions = units.select("file_id", "symbol", F.lit("function").alias("unit_type"), "start_line", "end_line", called_names("code").alias("calls"), "code")
-    plain = files.join(functions.select("file_id").distinct(), "file_id", "left_anti").where(~F.col("content").rlike(r"\bclass\s+\w+"))
+    found = _found(files, [("named", PHP_FUNCTION)], r"\#[^\n]*+")
+    plain = (F.size("units") == 0) & ~F.col("content").rlike(r"\bclass\s+\w+")
     blocks = F.filter(F.transform(F.regexp_extract_all("content", F.lit(r"(?is)<\?(?:php)?\s*(.*?)(?:\?>|\z)"), F.lit(1)), lambda b: F.btrim(b, F.lit(" \t\r\n"))), lambda b: b != "")
-    scripts = plain.withColumn("blocks", blocks).where(F.size("blocks") > 0).withColumn("code", F.array_join("blocks", "\n"))
+    code = F.array_join("blocks", "\n")
     reads = F.lit(False)
     for name in SUPERGLOBALS:
-        reads = reads | F.contains("code", F.lit(name))
+        reads = reads | F.contains(code, F.lit(name))
     behind = F.substring_index("content", "?>", -1)  # what follows the last block, if that is closed
     closed = ~F.contains(behind, F.lit("<?")) & F.contains("content", F.lit("?>"))
     end = _count("content", "\n") + 1 - F.when(closed, _count(behind, "\n")).otherwise(0)
     start = _count(F.substring_index("content", "<?", 1), "\n") + 1
-    script = scripts.select("file_id", F.concat(F.lit("<script:"), F.substring_index("path", "/", -1), F.lit(">")).alias("symbol"), F.when(reads, "handler").otherwise("function").alias("unit_type"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), called_names("code").alias("calls"), "code")
-    return functions.unionByName(script)
+    unit = lambda *c: F.struct(*(x.alias(n) for x, n in zip(c, ("symbol", "unit_type", "start_line", "end_line", "code"), strict=True)))
+    name = F.concat(F.lit("<script:"), F.substring_index("path", "/", -1), F.lit(">"))
+    script = unit(name, F.when(reads, "handler").otherwise("function"), start.cast("int"), end.cast("int"), code)
+    functions = F.transform("units", lambda u: unit(u["symbol"], F.lit("function"), u["start_line"], u["end_line"], u["code"]))
+    rows = found.withColumn("blocks", F.when(plain, blocks)).select("file_id", F.inline(F.when(F.size("blocks") > 0, F.array(script)).otherwise(functions)))
+    return rows.select("file_id", "symbol", "unit_type", "start_line", "end_line", called_names("code").alias("calls"), "code")

@@ -115,3 +115,14 @@ def test_php(spark):
         (1, "<script:a.php>", "handler", 2, 4, ["run", "strlen"]), (2, "<script:b.php>", "function", 2, 4, ["a", "b"]),
         (3, "go", "function", 3, 5, ["go"]), (3, "top", "function", 7, 7, ["top"]),
     ]
+
+
+def test_tokens_are_not_shuffled(spark):
+    """Nothing is exchanged or sorted: a file's tokens stay in its row; braces that close nothing don't pair with later ones."""
+    files = spark.createDataFrame([(1, "a.js", "} }\nfunction f(x) { { }\n const g = (y) => y;\n}\n{ function h(z)"), (2, "b.php", "<?php } function k() { if (1) { } } ?>")], "file_id long, path string, content string")
+    for found in (script_units.javascript_functions(files), script_units.php_units(files)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Exchange" not in plan and "Join" not in plan
+    rows = {(r["file_id"], r["symbol"]): (r["start_line"], r["end_line"], r["code"]) for r in script_units.javascript_functions(files).collect()}
+    assert rows[1, "f"] == (2, 4, "function f(x) { { }\n const g = (y) => y;\n}") and rows[1, "g"] == (3, 3, "const g = (y) =>") and (1, "h") not in rows
+    assert [(r["symbol"], r["code"]) for r in script_units.php_units(files).where("file_id = 2").collect()] == [("k", "function k() { if (1) { } }")]
