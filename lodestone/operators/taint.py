@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.scratch import stored
 from .graph import propagate
 
 #: A unit and a name in it as one key.
@@ -55,7 +56,7 @@ def request_parameters(units: DataFrame, names: Sequence[str] = ("request", "req
 
 def spread(units: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
     """unit_id, name, origin (a seed's key), depth: tainted names. seeds(param): keys. The first taint of a parameter stays."""
-    known = propagate(argument_flows(units), seeds, max_depth)
+    known = propagate(stored(argument_flows(units)), seeds, max_depth)  # each step reads the flows
     id_type = units.schema["unit_id"].dataType
     return known.select(F.substring_index("param", _BETWEEN, 1).cast(id_type).alias("unit_id"), F.substring_index("param", _BETWEEN, -1).alias("name"), "origin", "depth")
 
