@@ -80,10 +80,12 @@ r as (select m.query_id, m.unit_id, m.first, row_number() over (partition by m.q
 select query_id, 'primary' as part, (row_number() over (partition by query_id order by rank))::int as place, hit.unit_id, null as relation, md5(code) as code_md5 from hit join text on text.unit_id = hit.unit_id
 union all select query_id, 'related', place::int, r.unit_id, 'called by fn_' || r.first.u, md5(left(code, 500)) from r join text on text.unit_id = r.unit_id""")
 def p11_pack(spark, sf):
-    units = stored(programs.calling_units(spark, sf))
-    hits = searches._nearest(spark, sf, 5).select("query_id", F.col("vec_id").alias("unit_id"), "rank")
-    calls = T.call_arguments(units).select("unit_id", "callee", F.col("call").alias("place"))
-    return context_pack.context_pack(hits, units, calls).withColumn("code_md5", F.md5(F.col("code").cast("binary"))).drop("code")
+    # Of the functions only those that a context may hold are written out and parsed.
+    hits = stored(searches._nearest(spark, sf, 5).select("query_id", F.col("vec_id").alias("unit_id"), "rank"))
+    hit_units = programs.calling_units(spark, sf, hits.select("unit_id").distinct())
+    calls = T.call_arguments(hit_units).select("unit_id", "callee", F.col("call").alias("place"))
+    packed = context_pack.context_pack(hits, programs.calling_heads(spark, sf), calls, code_of=lambda ids: programs.calling_units(spark, sf, ids).select("unit_id", "code"))
+    return packed.withColumn("code_md5", F.md5(F.col("code").cast("binary"))).drop("code")
 
 
 @query("n3_closed_windows", """with w as (select time_bucket(interval 1 hour, ts) as started, event_type, count(*)::bigint as n, round(sum(value), 4) as total from events group by 1, 2)

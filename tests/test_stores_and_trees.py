@@ -125,3 +125,23 @@ def test_pack_repeats_nothing(spark):
         (7, "related", 1, 1, "called by a", 300), (7, "related", 2, 3, "called by a", 300), (7, "related", 3, 4, "called by a", 300), (7, "related", 4, 6, "called by a", 300), (7, "related", 5, 7, "called by a", 300), (7, "related", 6, 2, "called by b", 300),
         (8, "primary", 1, 1, None, 300), (8, "related", 1, 0, "called by b", 300), (8, "related", 2, 2, "called by b", 300), (8, "related", 3, 3, "called by b", 300), (8, "related", 4, 4, "called by b", 300),
     ]
+
+
+def test_only_what_a_context_holds_is_made(spark, sf_dir):
+    """Of the functions only those that are hit are parsed, and code is made for what the contexts hold."""
+    from lodestone.plans import programs
+
+    units = spark.createDataFrame([(i, "py", s) for i, s in enumerate(["a", "b", "c", "b", "d"])], "unit_id long, language string, symbol string")
+    calls = spark.createDataFrame([(0, "b", 0), (2, "d", 0)], "unit_id long, callee string, place int")
+    asked = []
+
+    def code_of(ids):
+        asked.extend(sorted(r["unit_id"] for r in ids.collect()))
+        return ids.withColumn("code", F.repeat(F.lit("x"), F.lit(600)))
+
+    rows = context_pack.context_pack(spark.createDataFrame([(7, 0, 1), (7, 99, 2)], "query_id long, unit_id long, rank int"), units, calls, code_of=code_of).collect()
+    assert asked == [0, 1, 3]
+    assert sorted((r["part"], r["unit_id"], len(r["code"])) for r in rows) == [("primary", 0, 600), ("related", 1, 500), ("related", 3, 500)]
+    whole = programs.calling_units(spark, sf_dir).where("unit_id in (3, 8)").collect()
+    few = programs.calling_units(spark, sf_dir, spark.createDataFrame([(3,), (8,)], "unit_id long")).collect()
+    assert sorted(whole) == sorted(few) and few
