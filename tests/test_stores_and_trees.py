@@ -145,3 +145,15 @@ def test_only_what_a_context_holds_is_made(spark, sf_dir):
     whole = programs.calling_units(spark, sf_dir).where("unit_id in (3, 8)").collect()
     few = programs.calling_units(spark, sf_dir, spark.createDataFrame([(3,), (8,)], "unit_id long")).collect()
     assert sorted(whole) == sorted(few) and few
+
+
+def test_large_trees_as_small_ones(labels, nodes):
+    """Trees walked in a task and trees whose ways are doubled have the same labels and types; walked ones shuffle no ways."""
+    rows = labels.collect()
+    want = {repr(tuple(r)) for r in rows}
+    for most in (1, 5, 20):
+        assert {repr(tuple(r)) for r in tree.interval_labels(nodes, most).select(labels.columns).collect()} == want
+        assert {repr(tuple(r)) for r in tree.ways(nodes, most).collect()} == {repr((r["tree_id"], r["node_id"], r["way"])) for r in rows}
+    types = [{(r["tree_id"], r["node_id"], tuple(r["path"])) for r in tree.type_paths(labels, nodes, most).collect()} for most in (1, 5, tree.TREE)]
+    assert types[0] == types[1] == types[2] and len(types[0]) == len(want)
+    assert "Generate" not in tree.type_paths(labels, nodes)._jdf.queryExecution().toString()
