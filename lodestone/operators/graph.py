@@ -81,10 +81,27 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     return first.select("caller", "name", F.coalesce("best.target", F.concat(F.lit("external:"), "name")).alias("target"))
 
 
+def _kept(calls: DataFrame, stop: Sequence[str]) -> DataFrame:
+    return calls.where(~F.col("name").isin(*stop) & (F.char_length("name") > 1) & (F.col("name") != F.col("caller")))
+
+
 def callers_of(calls: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
     """The inverted index of calls(caller, file_path, name): distinct callers of each name, without stop words and calls of oneself."""
-    kept = calls.where(~F.col("name").isin(*stop) & (F.char_length("name") > 1) & (F.col("name") != F.col("caller")))
-    return kept.groupBy("name").agg(F.count_distinct("caller", "file_path").alias("callers"), F.count_distinct("file_path").alias("files"))
+    return _kept(calls, stop).groupBy("name").agg(F.count_distinct("caller", "file_path").alias("callers"), F.count_distinct("file_path").alias("files"))
+
+
+def callers_of_units(units: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
+    """callers_of for units(caller, file_path, names), each name once in a unit. A file with one unit has one caller of a name, so its calls are counted
+    where they are; those of files with more units go by callers_of."""
+    calls = lambda of: of.select("caller", "file_path", F.explode("names").alias("name"))
+    shared = stored(units.where("file_path is not null").groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    none = shared.isEmpty()
+    alone = _kept(calls(units if none else units.join(shared, "file_path", "left_anti")), stop).groupBy("name").agg(F.count("file_path").alias("callers"))
+    alone = alone.withColumn("files", F.col("callers"))
+    if none:
+        return alone
+    both = alone.unionByName(callers_of(calls(units.join(shared, "file_path", "left_semi")), stop))
+    return both.groupBy("name").agg(F.sum("callers").alias("callers"), F.sum("files").alias("files"))
 
 
 def taint_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -171,11 +171,15 @@ def l17(spark, sf):
     return p.groupBy(F.element_at("path", 1).alias("source"), F.element_at("path", -1).alias("sink")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def calls(spark, sf):
-    """The words of a document as calls of functions."""
-    u = units(spark, sf)
+def callers(spark, sf):
+    """The words of a document as the names that a function calls."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("code"), F.lit("[a-z]{2,}"), F.lit(0)))
-    return u.select(F.col("symbol").alias("caller"), "file_path", "language", F.explode(words).alias("name"))
+    return units(spark, sf).select(F.col("symbol").alias("caller"), "file_path", "language", words.alias("names"))
+
+
+def calls(spark, sf):
+    """A row for each call."""
+    return callers(spark, sf).select("caller", "file_path", "language", F.explode("names").alias("name"))
 
 
 CALLS_SQL = f"{UNITS_SQL}, calls as (select symbol as caller, file_path, language, unnest(list_distinct(regexp_extract_all(lower(code), '[a-z]{{2,}}'))) as name from units)"
@@ -193,7 +197,7 @@ def g1(spark, sf):
 
 @query("g2_caller_index", f"with {CALLS_SQL} select name, count(distinct caller || '|' || file_path)::bigint as callers, count(distinct file_path)::bigint as files from calls where name not in ('the', 'and', 'of') and name <> caller group by name")
 def g2(spark, sf):
-    return G.callers_of(calls(spark, sf), ("the", "and", "of"))
+    return G.callers_of_units(callers(spark, sf), ("the", "and", "of"))
 
 
 @query("g3_callees_to_depth", f"""with recursive {GRAPH_SQL}, hop(start_id, id, depth) as (select id, id, 0 from nodes where node_type = 'entry' union select start_id, dst, depth + 1 from hop join edges on hop.id = src where depth < 2)

@@ -112,6 +112,19 @@ def test_call_resolution(spark):
     assert got == {"run": "n2", "nowhere": "external:nowhere"}
 
 
+def test_units_are_counted_as_their_calls(spark):
+    """Units that list their names give what their calls give, whether files are shared or not."""
+    rng = random.Random(3)
+    pick = lambda: rng.choice(["a.py", "b.py", "c.py", "d.go", None])
+    rows = [(rng.choice([None, "x", "y"]) if i % 4 == 0 else f"u{i}", pick() if i % 2 else f"f{i}", rng.choice(["py", "go", None]), rng.sample(["run", "go", "stop", "none", "u3", "x"], 3)) for i in range(60)]
+    units = spark.createDataFrame(rows, "caller string, file_path string, language string, names array<string>")
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.select(a.columns).collect()))
+    assert same(graph.callers_of_units(units, ("stop",)), graph.callers_of(units.withColumn("name", F.explode("names")), ("stop",)))
+    alone = units.where("caller like 'u%'").withColumn("file_path", F.col("caller"))
+    assert same(graph.callers_of_units(alone), graph.callers_of(alone.withColumn("name", F.explode("names"))))
+    assert "Expand" not in graph.callers_of_units(alone)._jdf.queryExecution().toString()
+
+
 def test_validation_status(spark):
     rows = [(1, "a", 1, 2, True, True, 0, 0.9), (2, "gone", 1, 2, True, True, 0, 0.9), (3, "a", 5, 2, True, True, 0, 0.9), (4, "a", 1, 2, False, False, 0, 0.9), (5, "a", 1, 2, False, True, 0, 0.7), (6, "a", 1, 2, True, True, 0, 0.6)]
     findings = spark.createDataFrame(rows, "id int, file_path string, line_start int, line_end int, sink_ok boolean, chain_ok boolean, missing_evidence int, confidence double")
