@@ -90,6 +90,36 @@ def callers_of(calls: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
     return _kept(calls, stop).groupBy("name").agg(F.count_distinct("caller", "file_path").alias("callers"), F.count_distinct("file_path").alias("files"))
 
 
+#: Nodes of a file that go along with each of its units; names that are broadcast at most.
+FEW, NAMES = 50, 200_000
+
+
+def resolve_units(units: DataFrame, nodes: DataFrame, few: int = FEW, names: int = NAMES) -> DataFrame:
+    """resolve_calls of units(caller, file_path, language, names), each name once in a unit. A unit takes its file's nodes along as a map, and a name
+    meets one row with its nodes by language, so no call is grouped, and calls are shuffled once at most: only if nodes have over names names. Callers
+    listed more than once, or of a file with over few nodes, go by resolve_calls."""
+    nodes = stored(nodes.where("name is not null").select("id", "name", "file_path", "language"))
+    in_file = nodes.groupBy("file_path", "language", "name").agg(F.min("id").alias("near"))
+    crowded = stored(in_file.groupBy("file_path", "language").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).drop("n"))
+    again = units.groupBy("caller").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or caller is null").select("caller")
+    apart = stored(again.unionByName(units.join(crowded, ["file_path", "language"], "left_semi").select("caller")).distinct().withColumnRenamed("caller", "other"))
+    rest, same = None, F.col("caller").eqNullSafe(F.col("other"))
+    if not apart.isEmpty():
+        rest = resolve_calls(units.join(apart, same, "left_semi").select("caller", "file_path", "language", F.explode("names").alias("name")), nodes)
+        units = units.join(apart, same, "left_anti")
+        in_file = in_file.join(crowded, ["file_path", "language"], "left_anti")
+    own = in_file.where("near is not null").groupBy("file_path", "language").agg(F.map_from_entries(F.collect_list(F.struct("name", "near"))).alias("own"))
+    far = nodes.groupBy("name", "language").agg(F.min("id").alias("far"))
+    entry = F.when(F.col("language").isNotNull() & F.col("far").isNotNull(), F.struct("language", "far"))
+    known = stored(far.groupBy("name").agg(F.map_from_entries(F.collect_list(entry)).alias("far")))
+    known = F.broadcast(known) if known.count() <= names else known.hint("shuffle_hash")
+    asked = units.join(own, ["file_path", "language"], "left").select("caller", "language", "own", F.explode("names").alias("name"))
+    asked = asked.select("caller", "language", "name", F.try_element_at("own", F.col("name")).alias("near"))
+    found = asked.join(known, "name", "left").withColumn("target", F.coalesce("near", F.try_element_at("far", F.col("language"))))
+    found = found.where(F.col("target").isNotNull() | F.col("far").isNull()).select("caller", "name", F.coalesce("target", F.concat(F.lit("external:"), "name")).alias("target"))
+    return found if rest is None else found.unionByName(rest)
+
+
 def callers_of_units(units: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
     """callers_of for units(caller, file_path, names), each name once in a unit. A file with one unit has one caller of a name, so its calls are counted
     where they are; those of files with more units go by callers_of."""

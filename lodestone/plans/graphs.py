@@ -192,7 +192,7 @@ select caller, name, coalesce(id, 'external:' || name) as target from f where k
 def g1(spark, sf):
     d = table(spark, sf, "documents")
     named = d.select(F.concat(F.lit("fn-"), "doc_id").alias("id"), F.lower(F.regexp_extract("text", "[A-Za-z]{2,}", 0)).alias("name"), F.concat("source", F.lit("/"), "lang", F.lit("/doc"), "doc_id", F.lit(".txt")).alias("file_path"), F.col("lang").alias("language"))
-    return G.resolve_calls(calls(spark, sf), named)
+    return G.resolve_units(callers(spark, sf), named)
 
 
 @query("g2_caller_index", f"with {CALLS_SQL} select name, count(distinct caller || '|' || file_path)::bigint as callers, count(distinct file_path)::bigint as files from calls where name not in ('the', 'and', 'of') and name <> caller group by name")

@@ -112,14 +112,18 @@ def test_call_resolution(spark):
     assert got == {"run": "n2", "nowhere": "external:nowhere"}
 
 
-def test_units_are_counted_as_their_calls(spark):
-    """Units that list their names give what their calls give, whether files are shared or not."""
+def test_units_resolve_as_their_calls(spark):
+    """Units that list their names give what their calls give, whether files or callers are shared or not, and shuffle no calls."""
     rng = random.Random(3)
     pick = lambda: rng.choice(["a.py", "b.py", "c.py", "d.go", None])
+    nodes = spark.createDataFrame([(f"n{i}", rng.choice(["run", "go", "stop", "", None]), pick(), rng.choice(["py", "go", None])) for i in range(14)], "id string, name string, file_path string, language string")
     rows = [(rng.choice([None, "x", "y"]) if i % 4 == 0 else f"u{i}", pick() if i % 2 else f"f{i}", rng.choice(["py", "go", None]), rng.sample(["run", "go", "stop", "none", "u3", "x"], 3)) for i in range(60)]
     units = spark.createDataFrame(rows, "caller string, file_path string, language string, names array<string>")
+    calls = units.select("caller", "file_path", "language", F.explode("names").alias("name"))
     same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.select(a.columns).collect()))
-    assert same(graph.callers_of_units(units, ("stop",)), graph.callers_of(units.withColumn("name", F.explode("names")), ("stop",)))
+    want = graph.resolve_calls(calls, nodes)
+    assert all(same(graph.resolve_units(units, nodes, few, names), want) for few, names in ((50, 100), (1, 100), (50, 0)))
+    assert same(graph.callers_of_units(units, ("stop",)), graph.callers_of(calls, ("stop",)))
     alone = units.where("caller like 'u%'").withColumn("file_path", F.col("caller"))
     assert same(graph.callers_of_units(alone), graph.callers_of(alone.withColumn("name", F.explode("names"))))
     assert "Expand" not in graph.callers_of_units(alone)._jdf.queryExecution().toString()
