@@ -5,8 +5,9 @@
 * Tiles that meet are multiplied a block of dimensions at a time. After each, a pair can't exceed what it has plus the product of the norms of
   both remainders (Cauchy and Schwarz); those below the cosine go. The dimensions are rotated first, so that the early ones hold most.
 
-A task holds two groups, GROUP rows each; a group travels once for each that it may meet. Pivots and rotation come from a bounded sample: they
-bear on the work, never on the result. Ranges of groups go to all tasks: PIVOTS numbers for GROUP rows.
+A task holds two groups; a group travels once for each that it may meet, as its vectors were given: units and rotation are made again where it
+arrives. There are GROUPS groups, so what travels grows with the rows, until a group has MOST rows. Pivots and rotation come from a bounded sample:
+they bear on the work, never on the result. Ranges of groups go to all tasks: PIVOTS numbers for each.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..sources.scratch import stored
@@ -25,15 +27,23 @@ PIVOTS = 12
 #: Rows of the sample for pivots and rotation.
 SAMPLE = 2000
 GROUP, TILE = 4096, 128
+#: Groups, if they have GROUP rows at least and MOST at most.
+GROUPS, MOST = 24, 65_536
 #: Dimensions of a block.
 BLOCK = 8
-_PACKED = "g int, ids binary, plain binary, turned binary, low binary, high binary"
+_PACKED = "g int, ids binary, norms binary, given binary, low binary, high binary"
 
 
-def unit_vectors(df: DataFrame) -> DataFrame:
-    """vec_id, e: vectors of length one; what is null, holds nulls or isn't finite, or has no length, is left out."""
+def usable_vectors(df: DataFrame) -> DataFrame:
+    """vec_id, x, norm: vectors as floats or doubles; what is null, holds nulls or isn't finite, or has no length, is left out."""
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.where(usable).withColumn("norm", C.norm("embedding")).where("norm > 0").select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") / F.col("norm")).alias("e"))
+    x = F.col("embedding") if df.schema["embedding"].dataType.elementType == T.FloatType() else F.col("embedding").cast("array<double>")
+    return df.where(usable).withColumn("norm", C.norm("embedding")).where("norm > 0").select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"), "norm")
+
+
+def group_count(rows: int, least: int = GROUP, most: int = MOST) -> int:
+    """In how many groups so many rows are compared."""
+    return max(1, min(GROUPS, -(-rows // least)), -(-rows // most))
 
 
 def spread_pivots(vectors: np.ndarray, most: int = PIVOTS) -> np.ndarray:
@@ -82,10 +92,11 @@ def above(a: np.ndarray, b: np.ndarray, least: float, block: int = BLOCK) -> tup
 class Tiles:
     """The rows of a group in tiles, with their ranges."""
 
-    def __init__(self, rows: pd.DataFrame, dims: int, pivots: int):
-        read = lambda b, n: np.frombuffer(b, float).reshape(-1, n)
+    def __init__(self, rows: pd.DataFrame, dims: int, pivots: int, turn: np.ndarray, kind: type):
+        read = lambda b, n, kind=float: np.frombuffer(b, kind).reshape(-1, n)
         self.ids = [np.frombuffer(b, np.int64) for b in rows["ids"]]
-        self.plain, self.turned = ([read(b, dims) for b in rows[c]] for c in ("plain", "turned"))
+        self.plain = [read(x, dims, kind).astype(float) / read(n, 1) for x, n in zip(rows["given"], rows["norms"], strict=True)]
+        self.turned = [e @ turn for e in self.plain]
         self.low, self.high = (np.concatenate([read(b, pivots) for b in rows[c]]) for c in ("low", "high"))
 
 
@@ -108,38 +119,42 @@ def compare(a: Tiles, b: Tiles | None, least: float, radius: float) -> tuple[lis
 def similar_pairs(vectors: DataFrame, least: float, group: int = GROUP, tile: int = TILE) -> DataFrame:
     """a, b, score of each pair of vectors(vec_id, embedding) whose cosine, rounded to six places, is least or more; a < b. Vectors of other lengths
     than most don't meet them: each length is a run of its own. Rows with one id are no pair."""
-    units = stored(unit_vectors(vectors))
-    lengths = [r["n"] for r in units.select(F.size("e").alias("n")).distinct().collect()]
-    found = [_pairs(units.where(F.size("e") == n), n, least, group, tile) for n in sorted(lengths)]
+    given = stored(usable_vectors(vectors))
+    lengths = [r["n"] for r in given.select(F.size("x").alias("n")).distinct().collect()]
+    found = [_pairs(given.where(F.size("x") == n), n, least, group, tile) for n in sorted(lengths)]
     empty = vectors.sparkSession.createDataFrame([], "a long, b long, score double")
     for f in found:
         empty = empty.unionByName(f)
     return empty
 
 
-def _pairs(units: DataFrame, dims: int, least: float, group: int, tile: int) -> DataFrame:
-    sample = np.array([r["e"] for r in units.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("e").collect()])
+def _units(rows: pd.DataFrame) -> np.ndarray:
+    return np.array(rows["x"].tolist(), float) / rows["norm"].to_numpy()[:, None]
+
+
+def _pairs(given: DataFrame, dims: int, least: float, group: int, tile: int) -> DataFrame:
+    kind = np.float32 if given.schema["x"].dataType.elementType == T.FloatType() else np.float64
+    sample = np.array([[x / r["norm"] for x in r["x"]] for r in given.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
     pivots = spread_pivots(sample)
     turn = np.linalg.eigh(sample.T @ sample)[1][:, ::-1]
     radius = float(np.sqrt(max(0.0, 2 - 2 * (least - 1e-6))))
-    groups = max(1, -(-units.count() // group))
+    groups = group_count(given.count(), group)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             if len(rows):
-                d = _distances(np.array(rows["e"].tolist()), pivots)
-                yield pd.DataFrame({"vec_id": rows["vec_id"], "e": rows["e"], "home": d.argmin(1), "d": d.min(1)})
+                d = _distances(_units(rows), pivots)
+                yield rows.assign(home=d.argmin(1), d=d.min(1))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for at in range(0, len(rows), tile):
                 part = rows.iloc[at : at + tile]
-                e = np.array(part["e"].tolist())
-                d = _distances(e, pivots)
-                yield pd.DataFrame([{"g": part["g"].iloc[0], "ids": part["vec_id"].to_numpy(np.int64).tobytes(), "plain": e.tobytes(), "turned": np.ascontiguousarray(e @ turn).tobytes(), "low": d.min(0).tobytes(), "high": d.max(0).tobytes()}])
+                d = _distances(_units(part), pivots)
+                yield pd.DataFrame([{"g": part["g"].iloc[0], "ids": part["vec_id"].to_numpy(np.int64).tobytes(), "norms": part["norm"].to_numpy(float).tobytes(), "given": np.array(part["x"].tolist(), kind).tobytes(), "low": d.min(0).tobytes(), "high": d.max(0).tobytes()}])
 
     # Ordered by pivot and distance; the id spreads equal vectors over groups.
-    placed = units.mapInPandas(place, "vec_id long, e array<double>, home int, d double").repartitionByRange(groups, "home", "d", "vec_id").sortWithinPartitions("home", "d", "vec_id")
+    placed = given.mapInPandas(place, f"vec_id long, x {given.schema['x'].dataType.simpleString()}, norm double, home int, d double").repartitionByRange(groups, "home", "d", "vec_id").sortWithinPartitions("home", "d", "vec_id")
     packed = stored(placed.withColumn("g", F.spark_partition_id()).mapInPandas(pack, _PACKED))
 
     def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,10 +181,11 @@ def _pairs(units: DataFrame, dims: int, least: float, group: int, tile: int) ->
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
-        a = Tiles(rows[rows["g"] == x], dims, many)
-        b = None if x == y else Tiles(rows[rows["g"] == y], dims, many)
+        a = Tiles(rows[rows["g"] == x], dims, many, turn, kind)
+        b = None if x == y else Tiles(rows[rows["g"] == y], dims, many, turn, kind)
         pairs, _ = compare(a, b, least - 1e-6, radius)
         return pd.DataFrame(pairs, columns=["a", "b", "score"]).astype({"a": "int64", "b": "int64", "score": float})
 
-    found = dealt.groupBy("x", "y").applyInPandas(meet, "a long, b long, score double")
+    # As many parts as meetings: adaptive execution would merge them by their bytes, which tell little of the work.
+    found = dealt.repartition(groups * (groups + 1) // 2, "x", "y").groupBy("x", "y").applyInPandas(meet, "a long, b long, score double")
     return found.withColumn("score", F.round("score", 6)).where((F.col("score") >= least) & (F.col("a") < F.col("b")))

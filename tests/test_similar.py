@@ -43,6 +43,17 @@ def test_few_pairs_are_multiplied_in_full(spark, sf_dir):
     assert full < 0.1 * len(u) ** 2 and brute(x, 0.4) <= set(zip(i.tolist(), j.tolist(), strict=True))
 
 
+def test_what_travels_grows_with_the_rows(spark):
+    """Groups hold more rows, not more groups as many rows; vectors travel as they were given, and floats give the pairs of their doubles."""
+    assert [similar.group_count(n) for n in (0, 5_000, 102_564, 615_384)] == [1, 2, similar.GROUPS, similar.GROUPS]
+    assert similar.group_count(10_000_000) * similar.MOST >= 10_000_000
+    x = np.random.default_rng(5).normal(size=(150, 20)).astype(np.float32)
+    floats = frame(spark, x).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    got = {(p["a"], p["b"]) for p in similar.similar_pairs(floats, 0.4, group=40, tile=16).collect()}
+    assert got == brute(x.astype(float), 0.4) and got
+    assert similar.usable_vectors(floats).schema["x"].dataType.simpleString() == "array<float>"
+
+
 def test_far_groups_do_not_meet():
     r = np.random.default_rng(1)
     x = np.concatenate([r.normal(size=(100, 8)) * 0.05 + c for c in np.eye(8)[:4]])
