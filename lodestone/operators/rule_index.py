@@ -4,6 +4,9 @@ A pattern has a key that a name must hold to match: an exact name or a prefix of
 letters of a part, anywhere; the letters that a regular expression begins with. Names meet patterns by equality of these keys, with a
 row for each length that patterns have, and each candidate is verified. Only expressions that begin with no letter have no key; those
 are tried on all names, as a side whose size is counted.
+
+Equal patterns of several rules are looked up once; their rules follow in parts of RULES. Sides that grow with names or rules are never broadcast:
+Spark takes the size of exploded rows for that of the rows before, and would send them all through the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from ..sources.scratch import stored
 ANCHOR = 4
 #: Expressions without a key are broadcast up to so many; beyond, Spark chooses.
 BROADCAST_PATTERNS = 10_000
+#: Rules of one pattern that travel in a row; hits of a task, which sorts them by name.
+RULES, TASK_HITS = 64, 2_000_000
 
 
 def _beginning(pattern: str | None) -> str | None:
@@ -34,9 +39,9 @@ def _beginning(pattern: str | None) -> str | None:
     return plain[:-1] if pattern[len(plain) :][:1] in ("*", "?", "{", "+") else plain
 
 
-def _runs(pattern: str | None) -> list[str]:
-    """Plain texts that every match of an expression holds, as far as they are sure: none with branches, groups or escaped letters."""
-    if _beginning(pattern) is None or re.search(r"[|(]|\\[A-Za-z0-9]|\[[^\]]*\[", pattern):
+def _runs(pattern: str) -> list[str]:
+    """Plain texts that every match of a sound expression holds, as far as they are sure: none with branches, groups or escaped letters."""
+    if re.search(r"[|(]|\\[A-Za-z0-9]|\[[^\]]*\[", pattern):
         return []
     left = re.sub(r"\[\^?\]?[^\]]*\]", "\0", re.sub(r"\\.", "\0", pattern))
     left = re.sub(r".(?:[*?]|\{[^}]*\})[+?]?", "\0", left)
@@ -58,9 +63,9 @@ def _rarest(wanted: DataFrame, distinct: DataFrame) -> DataFrame:
     sizes = F.sequence(F.lit(1), F.least(F.lit(ANCHOR), size))
     parts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("_name"), i, n))))
     named = distinct.select("_name").distinct().where(size > 0).select(F.explode(F.array_distinct(parts)).alias("gram"))
-    often = named.join(held.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    best = held.join(often, "gram", "left").groupBy("text").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    chosen = wanted.where("kind = 'regex'").join(best, "text", "left")
+    often = named.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))  # counted where names are: far fewer parts than names
+    best = held.join(often.hint("merge"), "gram", "left").groupBy("text").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    chosen = wanted.where("kind = 'regex'").join(best.hint("merge"), "text", "left")
     chosen = chosen.withColumn("where", F.when(F.col("gram").isNotNull(), "part").otherwise("start")).withColumn("key", F.coalesce("gram", "key"))
     return wanted.where("kind <> 'regex'").withColumn("where", where).unionByName(chosen.drop("gram"))
 
@@ -92,10 +97,14 @@ def _holds(name: Column, kind: Column, text: Column) -> Column:
 def lookup(names: DataFrame, name: str, index: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """names with rule_id and kind of each rule that matches, once for a rule, and place: exact matches before others, then by rule_id.
     by: further columns that must be equal on both sides, such as a language. A name that is null matches nothing."""
-    wanted = index.select("rule_id", "kind", "text", "key", *by).distinct()
+    wanted = stored(index.select("rule_id", "kind", "text", "key", *by).distinct())
     distinct = names.where(F.col(name).isNotNull()).select(F.col(name).alias("_name"), *by).distinct()
-    wanted = stored(_rarest(wanted, distinct))
-    sizes = wanted.where("key <> ''").groupBy(F.when(F.col("where") == "whole", "start").otherwise(F.col("where")).alias("where")).agg(F.collect_set(F.when(F.col("kind") == "exact", F.lit(-1)).otherwise(F.char_length("key"))).alias("sizes"))
+    same = Window.partitionBy("kind", "text", *by).orderBy("rule_id")
+    part = F.floor((F.row_number().over(same) - 1) / RULES).alias("part")
+    rules = wanted.select("kind", "text", *by, "rule_id", part).groupBy("kind", "text", *by, "part").agg(F.collect_list(F.struct("rule_id")).alias("rules"))
+    patterns = wanted.groupBy("kind", "text", "key", *by).agg(F.count(F.lit(1)).alias("n"))
+    patterns = stored(_rarest(patterns, distinct))
+    sizes = patterns.where("key <> ''").groupBy(F.when(F.col("where") == "whole", "start").otherwise(F.col("where")).alias("where")).agg(F.collect_set(F.when(F.col("kind") == "exact", F.lit(-1)).otherwise(F.char_length("key"))).alias("sizes"))
     sizes = {r["where"]: sorted(r["sizes"]) for r in sizes.collect()}  # the lengths that keys have: no more than the longest pattern has letters
 
     size = F.char_length("_name")
@@ -107,15 +116,24 @@ def lookup(names: DataFrame, name: str, index: DataFrame, by: tuple[str, ...] =
     end = F.transform(fit("end"), lambda n: F.struct(F.lit("end").alias("where"), part(size - n + 1, n).alias("key")))
     inner = F.flatten(F.transform(fit("part"), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.struct(F.lit("part").alias("where"), part(i, n).alias("key")))))
     probes = distinct.select("*", F.explode(F.array_distinct(F.concat(whole, start, end, inner))).alias("p")).select("_name", *by, "p.where", "p.key")
-    keyed = wanted.where("key <> ''")
-    found = probes.join(keyed, ["where", "key", *by]).select("_name", *by, "rule_id", "kind", "text")
-    bare = wanted.where("key = ''").select("rule_id", "kind", "text", *by)
-    n = bare.count()
-    if n:
-        tried = F.broadcast(bare) if n <= BROADCAST_PATTERNS else bare
-        found = found.unionByName((distinct.join(tried, list(by)) if by else distinct.withColumn("_all", F.lit(1)).join(tried.withColumn("_all", F.lit(1)), "_all")).select("_name", *by, "rule_id", "kind", "text"))
-    hits = found.where(_holds(F.col("_name"), F.col("kind"), F.col("text")))
+    kept = ("_name", *by, "kind", "text", "n")
+    found = probes.join(patterns.where("key <> ''").hint("merge"), ["where", "key", *by]).select(*kept)
+    bare = patterns.where("key = ''").drop("where", "key")
+    tries = bare.count()
+    if tries:
+        tried = F.broadcast(bare) if tries <= BROADCAST_PATTERNS else bare.hint("merge" if by else "shuffle_replicate_nl")
+        found = found.unionByName((distinct.join(tried, list(by)) if by else distinct.crossJoin(tried)).select(*kept))
+    matched = stored(found.where(_holds(F.col("_name"), F.col("kind"), F.col("text"))))
+    spark = matched.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(matched.agg(F.sum("n")).first()[0] or 0) // TASK_HITS))
+    dealt = matched.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RULES))))
+    hits = dealt.join(rules.hint("merge"), ["kind", "text", *by, "part"]).select("_name", *by, "kind", "rules")
+    # All that follows keeps to a name: rules are told apart where its hits are, and none is shuffled by itself.
+    hits = hits.repartition(parts, "_name", *by).select("_name", *by, "kind", F.inline("rules"))
     exact = F.when(F.col("kind") == "exact", 0).otherwise(1)
-    hits = hits.groupBy("_name", *by, "rule_id").agg(F.min_by("kind", F.struct(exact, "kind")).alias("kind"))
-    hits = hits.withColumn("place", F.row_number().over(Window.partitionBy("_name", *by).orderBy(F.when(F.col("kind") == "exact", 0).otherwise(1), "rule_id")))
-    return names.join(hits.withColumnRenamed("_name", name), [name, *by])
+    if not wanted.groupBy("rule_id", *by).count().where("count > 1").isEmpty():  # a rule of several patterns counts once
+        hits = hits.groupBy("_name", *by, "rule_id").agg(F.min_by("kind", F.struct(exact, "kind")).alias("kind"))
+    hits = hits.withColumn("place", F.row_number().over(Window.partitionBy("_name", *by).orderBy(exact, "rule_id")))
+    columns = [c for c in names.columns if c not in (name, *by)]
+    named = names.select(F.col(name).alias("_name"), *by, *columns).hint("merge")
+    return named.join(hits, ["_name", *by]).select(F.col("_name").alias(name), *by, *columns, "rule_id", "kind", "place")

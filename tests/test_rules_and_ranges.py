@@ -102,3 +102,15 @@ def test_expressions_are_found_by_their_rarest_part(spark):
     assert got == {(i, k) for i in range(300) for k in range(1, 300) if i == k or (i // 10 == k and i % 10 < 5)}
     keys = rule_index._rarest(index.select("rule_id", "kind", "text", "key"), names.select(F.col("name").alias("_name")))
     assert keys.where("where = 'start'").count() == 0  # all names begin alike
+
+
+def test_no_side_that_grows_is_broadcast(spark):
+    names = spark.range(2_000).select("id", F.format_string("Name#%06d", "id").alias("name"))
+    rules = spark.range(2_000).select(F.format_string("R%04d", "id").alias("rule_id"), F.concat(F.when(F.col("id") % 2 == 0, "contains:0").otherwise("regex:Name#0+"), F.col("id") % 10).alias("pattern"))
+    found = rule_index.lookup(names, "name", rule_index.rule_index(rules))
+    # Each of the ten patterns is that of 200 rules, more than travel in a row.
+    want = {i: sum(200 for k in range(10) if (f"0{k}" in f"{i:06d}" if k % 2 == 0 else f"{i:06d}".lstrip("0").startswith(str(k)))) for i in range(2_000)}
+    got = {r["id"]: (r["n"], r["most"], r["rules"]) for r in found.groupBy("id").agg(F.count("*").alias("n"), F.max("place").alias("most"), F.count_distinct("rule_id").alias("rules")).collect()}
+    assert got == {i: (n, n, n) for i, n in want.items() if n}
+    found.collect()
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
