@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import property_graph as P
 from lodestone.operators import taint
+from lodestone.plans import programs
 
 CODE = """
 import os
@@ -148,3 +149,31 @@ def test_paths_within_parts_as_by_joins(spark):
 def test_nodes_are_not_broadcast(spark):
     nodes = P.graph_nodes(spark.createDataFrame([(1, "def f(a):\n    return a\n")], "file_id long, content string"))
     assert "BroadcastExchange" not in P.control_edges(nodes)._jdf.queryExecution().executedPlan().toString()
+
+
+ODD = ["", "\n \n", "x = 1\n  y = x\n", "if x:\n", "if x:\n    y = x\n\nelse:\n  z = y\n", "else:\n    x = y\n", "for a in x:\n    y = a\nelse:\n    z = y\n", "x = (a,\nb)\n", "x = 'a:'\n", "def f(a):\n    def g(b):\n        return a\n    return b\nf(g)\n", "if a:\n    b = a\nelif b:\n    c = b\nelse:\n    d = c\n", "def if(a):\n    return a\n", "if x: y = x\nz = y\n", "class A:\n    x = y\n", "def f():\n    x = a\n    if x:\n        f(x)\n        else:\n            y = x\n", "from __future__ import barry_as_FLUFL\nx != y\n"]
+
+
+def test_lines_tell_what_the_tree_tells():
+    r = random.Random(5)
+    lines = ["x = y + z", "a.b(x)", "if x > y:", "else:", "for i, j in f(x):", "while x:", "return x", "x += y", "def g(a, b=c, *d, e=1):", "def f():", "elif x:", "pass", "x = (1,", "2)", "x: int = y", "try:", "x = 'y'", "match x:", "@f", "import os", ""]
+    texts = list(ODD)
+    for _ in range(3_000):
+        level, text = 0, []
+        for _ in range(r.randint(1, 8)):
+            text.append("  " * level + (line := r.choice(lines[:10] if r.random() < 0.8 else lines)))
+            level = level + 1 if line.endswith(":") else max(0, level - r.choice([0, 0, 1, 2]))
+        texts.append("\n".join([*text, "  " * level + "pass"]))
+    told = [(t, P._by_lines(3, t)) for t in texts]
+    assert [t for t, nodes in told if nodes is not None and nodes != P._by_tree(3, t)] == []
+    assert sum(bool(nodes) for _, nodes in told) > 300
+
+
+def test_data_edges_of_a_file_in_its_row(spark, graph, sf_dir):
+    files = spark.createDataFrame([(1, CODE), (2, "def broken(:"), (3, None), *((i, t) for i, t in enumerate(ODD, 5))], "file_id long, content string")
+    nodes = P.graph_nodes(files)
+    for reaching in (True, False):
+        got, want = (sorted(map(tuple, df.collect())) for df in (P.file_data_edges(files, reaching), P.data_edges(nodes, reaching)))
+        assert got == want and len(got) > 10
+    plan = programs.l16_table(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapIn") == 1  # each program is made and parsed once
