@@ -177,3 +177,18 @@ def test_data_edges_of_a_file_in_its_row(spark, graph, sf_dir):
         assert got == want and len(got) > 10
     plan = programs.l16_table(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapIn") == 1  # each program is made and parsed once
+
+
+def test_paths_of_a_file_in_its_row(spark, sf_dir):
+    files = spark.createDataFrame([(1, CODE), (2, "def broken(:"), (3, None), *((i, t) for i, t in enumerate(ODD, 5))], "file_id long, content string")
+    nodes = P.graph_nodes(files).cache()
+    ids = nodes.withColumn("id", F.col("file_id") * 1000 + F.col("node_id"))
+    over_all = P.graph_edges(nodes).select("file_id", *((F.col("file_id") * 1000 + F.col(c)).alias(c) for c in ("src", "dst")), "kind")
+    for kinds, most, with_end in ((None, 10, True), (P.DATA, 10, False), (P.CONTROL, 2, True), (None, 1, False), (None, 40, True)):
+        want = P.typed_paths(over_all, ids.where("node_type in ('function', 'parameter')"), ids.where("node_type in ('return', 'assignment')"), kinds, 8, most, with_end, within="file_id")
+        got = P.file_paths(files, lambda kind, name: kind in ("function", "parameter"), lambda kind, name: kind in ("return", "assignment"), kinds, 8, most, with_end)
+        plain = sorted((r["file_id"] * 1000 + r["start"], r["file_id"] * 1000 + r["end"], [r["file_id"] * 1000 + n for n in r["path"]]) for r in got.collect())
+        assert plain == sorted((r["start"], r["end"], r["path"]) for r in want.collect()) and len(plain) > 5
+    plan = programs.l17_all(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("MapIn")]
+    assert "Exchange" not in after and "Scan parquet" not in after  # no edge is shuffled, no node written
