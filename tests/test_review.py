@@ -3,7 +3,7 @@
 import math
 import random
 
-from lodestone.operators import parsing, review
+from lodestone.operators import parsing, property_graph, review
 from lodestone.plans.sources_and_parsers import similar_units
 from pyspark.sql import functions as F
 
@@ -139,3 +139,12 @@ def test_units_by_their_categories(spark):
 def test_depths_are_not_broadcast(spark):
     nodes = spark.createDataFrame([(1, 0, None, "function"), (1, 1, 0, "if")], "file_id long, node_id int, parent_id int, node_type string")
     assert "BroadcastExchange" not in review.structure_features(nodes, ("function",))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_structures_of_files_are_counted_where_they_are_parsed(spark):
+    texts = ["def f(a):\n    if a:\n        for x in a:\n            f(x)\n    return a\n", "x = 1\n", "", None, "def f(:", "while x:\n    y = 'a'\n"]
+    files = spark.createDataFrame(list(enumerate(texts)), "file_id long, content string")
+    kinds = ("function", "assignment", "call", "loop")
+    got = {r["file_id"]: r["features"] for r in review.file_structures(files, kinds).collect()}
+    assert got == {r["file_id"]: r["features"] for r in review.structure_features(property_graph.graph_nodes(files), kinds).collect()}
+    assert got == {0: [1, 0, 1, 1, 3, 3], 1: [0, 1, 0, 0, 1, 0], 5: [0, 1, 0, 1, 2, 1]}
